@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillframe.llm import common, exact_dedup, simhash
+from quillframe.llm import bpe, common, exact_dedup, mixing, quality_rules, simhash
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule or a learned rule rejects go."""
+    return quality_rules.accepted(docs, common.table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,7 +22,17 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.deduplicated(docs)
 
 
-STAGES = [("exact dedup", exact), ("near dedup", near)]
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources at their target weights: a document taken k times is k rows, one not taken is none."""
+    return mixing.drawn(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, with the digests of the ids and of the text they decode to."""
+    return bpe.digests(docs)
+
+
+STAGES = [("quality rules", quality), ("exact dedup", exact), ("near dedup", near), ("mix sources", mix), ("byte-level BPE", encode)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
