@@ -6,11 +6,13 @@ from importlib import import_module
 
 #: module of this package and its query; each module has the SQL, if any, as ORACLE.
 _MODULES = {
+    "op1_toxicity": "toxicity",
     "op2_quality_rules": "quality_rules",
     "op3_mix_sources": "mixing",
     "op4_byte_bpe": "bpe",
     "op6_exact_dedup": "exact_dedup",
     "op7_simhash": "simhash",
+    "op8_token_counts": "token_counts",
 }
 
 
