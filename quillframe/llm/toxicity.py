@@ -1,12 +1,13 @@
 """Toxicity by multiple-instance learning: a document is a bag of sentences, and only the document has a label.
 
-A sentence ends at ``. ! ?`` or a line feed; its features are the distinct words (runs of letters, A-Z lower-cased) it holds, by hash.
+A sentence ends at ``. ! ?`` or a line feed; its features are the distinct words (runs of letters, A-Z lower-cased) it holds and
+their first ``STEMS`` bytes, which inflected forms share, all by hash.
 A sentence with features x is toxic with probability p = sigmoid(b + w.x), and a document with 1 - prod(1 - p), the
 noisy-or of its sentences. Both are trained on document labels alone, by gradient steps with a soft threshold that leaves only
 telling words a weight. ``sentences`` then says which sentences of a document made its score.
 
 Labels are learned from a bounded sample: at most ``LEARN_ROWS`` labelled rows of either class, those with the smallest hashes of
-their ids, outside the held-out fold. Candidates for weights are the ``FEATURES`` words that tell the classes apart best there.
+their ids, outside the held-out fold. Candidates for weights are the ``FEATURES`` words that tell the classes apart best there, by ``LEAST_APART`` standard errors or more.
 
 Nulls: a null text is empty. A text without words has no sentence and scores 0. A null id counts as the empty text for the fold.
 Repeated rows score alike. Without labels of both classes nothing is learned: every text scores 0. An empty table gives an
@@ -24,10 +25,16 @@ from pyspark.sql import functions as F
 
 from quillframe.llm import common as C
 from quillframe.llm import wordhash as W
+from quillframe.llm.token_counts import Table
 
 LEARN_ROWS, FEATURES, LEAST_ROWS = 6_000, 4_096, 5
+#: Standard errors by which a word's share of toxic documents must differ from the whole sample's.
+LEAST_APART = 6.0
 FOLDS = 5
-STEPS, RATE, SPARSE = 300, 0.1, 3e-4
+STEPS, RATE, SPARSE = 500, 0.1, 2e-4
+#: Share of labels taken to be wrong, so that no single one pulls without limit.
+WRONG = 0.02
+STEMS = (4, 5, 6)
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _END = np.zeros(256, bool)
@@ -41,10 +48,10 @@ class Model(NamedTuple):
 
 
 class Bags(NamedTuple):
-    """Words of a chunk and their sentences; sentences of a document follow each other."""
+    """Features of a chunk and their sentences; sentences of a document follow each other."""
 
     words: W.Words
-    sentence: np.ndarray  # of each word
+    sentence: np.ndarray  # of each feature
     doc: np.ndarray  # of each sentence
     spans: np.ndarray  # first and last byte of each sentence's words
 
@@ -58,8 +65,13 @@ def bags(data: np.ndarray, at: np.ndarray) -> Bags:
     new[1:] = (before[starts[1:]] != before[starts[:-1]]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
     last = np.r_[first[1:], len(starts)] - 1
-    hashes = W.span_hashes(W.LOWER[data], starts, ends)
-    return Bags(W.Words(hashes, doc, starts, ends), np.cumsum(new) - 1, doc[first], np.stack([starts[first], ends[last]], 1) if len(first) else np.empty((0, 2), np.int64))
+    low, sentence = W.LOWER[data], np.cumsum(new) - 1
+    parts = [(W.span_hashes(low, starts, ends), np.arange(len(starts)))]
+    for n in STEMS:
+        long = np.flatnonzero(ends - starts >= n)
+        parts.append((W.mix(W.span_hashes(low, starts[long], starts[long] + n) + np.uint64(n)), long))
+    hashes, of = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return Bags(W.Words(hashes, doc[of], starts[of], ends[of]), sentence[of], doc[first], np.stack([starts[first], ends[last]], 1) if len(first) else np.empty((0, 2), np.int64))
 
 
 def _softplus(z: np.ndarray) -> np.ndarray:
@@ -71,12 +83,12 @@ def _distinct(sentence: np.ndarray, feature: np.ndarray, width: int) -> tuple[np
     return key // width, key % width
 
 
-def activations(bag: Bags, model: Model) -> np.ndarray:
+def activations(bag: Bags, model: Model, table: Table) -> np.ndarray:
     """b + w.x of every sentence."""
     z = np.full(len(bag.doc), model.bias)
     if len(model.hashes) and len(bag.words.hashes):
-        k = np.minimum(np.searchsorted(model.hashes, bag.words.hashes), len(model.hashes) - 1)
-        hit = model.hashes[k] == bag.words.hashes
+        k = table.find(bag.words.hashes)
+        hit = k >= 0
         s, f = _distinct(bag.sentence[hit], k[hit], len(model.hashes))
         z += np.bincount(s, model.weights[f], minlength=len(z))
     return z
@@ -91,11 +103,12 @@ def train(doc: np.ndarray, sentence: np.ndarray, feature: np.ndarray, sentences:
     w, b = np.zeros(features), -5.0
     m1, m2 = np.zeros(features + 1), np.zeros(features + 1)
     y = label.astype(bool)
-    balance = np.where(y, 0.5 / max(1, y.sum()), 0.5 / max(1, (~y).sum()))
     for t in range(1, STEPS + 1):
         z = b + np.bincount(sentence, w[feature], minlength=held)
         total = np.bincount(of, _softplus(z), minlength=n) + plain * _softplus(b)
-        slope = np.where(y, -1 / np.maximum(np.expm1(np.minimum(total, 50)), 1e-6), 1.0) * balance
+        clean = np.exp(-total)
+        said = WRONG + (1 - 2 * WRONG) * (1 - clean)  # of being labelled toxic
+        slope = (1 - 2 * WRONG) * clean * np.where(y, -1 / said, 1 / (1 - said)) / n
         dz = slope[of] / (1 + np.exp(-z))
         g = np.append(np.bincount(feature, dz[sentence], minlength=features), dz.sum() + (slope * plain).sum() / (1 + np.exp(-b)))
         m1 = 0.9 * m1 + 0.1 * g
@@ -144,21 +157,24 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LEARN_ROWS, folds: int =
     if not 0 < toxic < rows:
         return Model(np.empty(0, np.uint64), np.empty(0), -np.inf)
     found = C.arrow_map(part.select("toxic", "text"), seen, "h long, a long, n long").groupBy("h").agg(F.sum("a").alias("a"), F.sum("n").alias("n")).filter(F.col("n") >= LEAST_ROWS)
-    # the signed square root of chi-square of the word and the label
-    apart = F.abs((F.col("a") - F.col("n") * toxic / rows) / F.sqrt(F.col("n") * (1 - F.col("n") / (rows + 1))))
-    top = found.orderBy(apart.desc(), "h").limit(FEATURES).select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64)
+    # the root of chi-square of the word and the label
+    share = toxic / rows
+    apart = F.abs((F.col("a") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share) * (1 - F.col("n") / (rows + 1))))
+    top = found.filter(apart >= LEAST_APART).orderBy(apart.desc(), "h").limit(FEATURES).select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64)
     names = np.sort(top)
 
     def features():
+        table = Table(names, np.arange(len(names)))
+
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
             data, at = C.text_bytes(b.column(2))
             out, count = [], []
             for i, j in C.chunks(at, W.CHUNK):
                 bag = bags(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                k = np.minimum(np.searchsorted(names, bag.words.hashes), max(0, len(names) - 1))
-                hit = names[k] == bag.words.hashes if len(names) else np.zeros(len(k), bool)
+                k = table.find(bag.words.hashes)
+                hit = k >= 0
                 s, x = _distinct(bag.sentence[hit], k[hit], max(1, len(names)))
-                d = bag.doc[s]
+                d = bag.doc[s]  # s ascends, so d does
                 cut = np.searchsorted(d, np.arange(j - i + 1))
                 count.append(np.bincount(bag.doc, minlength=j - i))
                 out += [(s[p:q].astype(np.int32).tobytes(), x[p:q].astype(np.int32).tobytes()) for p, q in zip(cut, cut[1:], strict=False)]
@@ -180,6 +196,8 @@ def scored(docs: DataFrame, model: Model, folds: int = FOLDS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, score, predicted, n_sentences, and the worst sentence's span in code points (null without sentences)."""
 
     def make():
+        table = Table(model.hashes, np.arange(len(model.hashes)))
+
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
             data, at = C.text_bytes(b.column(2))
             n = b.num_rows
@@ -189,7 +207,7 @@ def scored(docs: DataFrame, model: Model, folds: int = FOLDS) -> DataFrame:
                 bag = bags(part, own)
                 if not len(bag.doc):
                     continue
-                z = activations(bag, model)
+                z = activations(bag, model, table)
                 score[i:j] = -np.expm1(-np.bincount(bag.doc, _softplus(z), minlength=j - i))
                 count[i:j] = np.bincount(bag.doc, minlength=j - i)
                 order = np.lexsort((-np.arange(len(z)), z, bag.doc))  # the first of the worst
@@ -211,13 +229,15 @@ def sentences(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """Sentences whose own probability is ``least`` or more: doc_id, start and end (code points), sentence, p."""
 
     def make():
+        table = Table(model.hashes, np.arange(len(model.hashes)))
+
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
             data, at = C.text_bytes(b.column(1))
             out = []
             for i, j in C.chunks(at, W.CHUNK):
                 part, own = data[at[i] : at[j]], at[i : j + 1] - at[i]
                 bag = bags(part, own)
-                p = 1 / (1 + np.exp(-activations(bag, model)))
+                p = 1 / (1 + np.exp(-activations(bag, model, table)))
                 points = np.zeros(len(part) + 1, np.int64)
                 np.cumsum((part & 0xC0) != 0x80, out=points[1:])
                 for k in np.flatnonzero(p >= least):
