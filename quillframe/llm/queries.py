@@ -13,6 +13,8 @@ _MODULES = {
     "op6_exact_dedup": "exact_dedup",
     "op7_simhash": "simhash",
     "op8_token_counts": "token_counts",
+    "op9_license_scan": "license_scan",
+    "op10_secret_scan": "secrets_scan",
 }
 
 
