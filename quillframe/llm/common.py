@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import mmap
 import os
 import shutil
 import tempfile
@@ -108,7 +109,8 @@ def mapped(uri: str) -> np.ndarray:
             shutil.copyfileobj(f, to, 1 << 20)
         path = local
     try:
-        return np.memmap(path, np.uint8, "r") if os.path.getsize(path) else np.empty(0, np.uint8)
+        with open(path, "rb") as f:  # the map holds no descriptor, so a worker can map thousands of files
+            return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False), np.uint8) if os.path.getsize(path) else np.empty(0, np.uint8)
     finally:
         if fs is not None:
             os.unlink(path)

@@ -10,6 +10,7 @@ _MODULES = {
     "op2_quality_rules": "quality_rules",
     "op3_mix_sources": "mixing",
     "op4_byte_bpe": "bpe",
+    "op5_kneser_ney": "kneser_ney",
     "op6_exact_dedup": "exact_dedup",
     "op7_simhash": "simhash",
     "op8_token_counts": "token_counts",
