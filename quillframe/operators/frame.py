@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import timedelta
 from typing import Any
 
@@ -37,6 +37,8 @@ def new_id() -> str:
 class Field:
     name: str
     id: str
+    #: The column as the source has it, where the values' null rules are an expression over it: tests of it can reach the scan.
+    raw: str | None = field(default=None, compare=False)
 
 
 @dataclass(frozen=True)
@@ -109,7 +111,10 @@ class Frame:
                 raise KeyError(x)
         fields = {c: Field(c, new_id()) for c in sdf.columns}
         kinds = {f.name: f.dataType for f in sdf.schema}
-        picked = sdf.select(*(casts.normalised(F.col(f"`{c}`"), kinds[c], options).alias(f.id) for c, f in fields.items()))
+        made = {c: casts.normalised(F.col(f"`{c}`"), kinds[c], options) for c in fields}
+        ruled = [c for c in fields if isinstance(kinds[c], (T.DoubleType, T.StringType))]
+        fields |= {c: Field(c, fields[c].id, new_id()) for c in ruled}
+        picked = sdf.select(*(v.alias(fields[c].id) for c, v in made.items()), *(F.col(f"`{c}`").alias(fields[c].raw) for c in ruled))
         if order_by:
             order = [(fields[c].id, True) for c in order_by]
         else:
@@ -226,16 +231,16 @@ class Frame:
     def set_label_names(self, names: Sequence[str]):
         if len(names) != len(self.labels):
             raise ValueError(f"{len(names)} names for {len(self.labels)} labels")
-        return self._new(labels=[Field(n, f.id) for n, f in zip(names, self.labels, strict=True)])
+        return self._new(labels=[Field(n, f.id, f.raw) for n, f in zip(names, self.labels, strict=True)])
 
     def set_col_names(self, names: Sequence[str]):
         if len(names) != len(self.cols):
             raise ValueError(f"{len(names)} names for {len(self.cols)} columns")
-        return self._new(cols=[Field(n, f.id) for n, f in zip(names, self.cols, strict=True)])
+        return self._new(cols=[Field(n, f.id, f.raw) for n, f in zip(names, self.cols, strict=True)])
 
     def deduplicate_names(self):
         names = unique_names([f.name for f in self.fields])
-        made = [Field(n, f.id) for n, f in zip(names, self.fields, strict=True)]
+        made = [Field(n, f.id, f.raw) for n, f in zip(names, self.fields, strict=True)]
         return self._new(labels=made[: len(self.labels)], cols=made[len(self.labels) :])
 
     def copy(self):
@@ -280,7 +285,8 @@ class Frame:
             if c in made:
                 o = new_id()
                 sdf, order[k] = sdf.withColumn(o, F.col(c)), (o, up)
-        return self._new(sdf.withColumns(dict(made)), order=order)
+        fresh = lambda fields: [Field(f.name, f.id) if f.id in made else f for f in fields]
+        return self._new(sdf.withColumns(dict(made)), labels=fresh(self.labels), cols=fresh(self.cols), order=order)
 
     def __str__(self) -> str:
         from quillframe.operators.printing import table
@@ -345,7 +351,7 @@ class Frame:
         if isinstance(value, str):  # a new name
             if old is None:
                 raise KeyError(name)
-            return put([Field(value, f.id) if f == old else f for f in own])
+            return put([Field(value, f.id, f.raw) if f == old else f for f in own])
         f = Field(old.name if old else name, new_id())
         fields = [f if x == old else x for x in own] if old else [*own, f]
         if callable(value) and not isinstance(value, Column):
@@ -438,12 +444,21 @@ class Frame:
         """A null never passes."""
         tests = []
         for name, test in filters.items():
-            c = F.col(self._named(name).id)
+            f = self._named(name)
             if getattr(test, "_opaque", False):
                 test = F.pandas_udf(test, "boolean")
-            tests.append(c.isNotNull() & F.coalesce(test(c), F.lit(False)))
+            tests.append(self._valid(f) & test(F.col(f.raw or f.id)))
         return tests
 
+    def _valid(self, f: Field) -> Column:
+        """Not null, said of the source's column where there is one."""
+        if not f.raw:
+            return F.col(f.id).isNotNull()
+        c = F.col(f.raw)
+        if isinstance(self.kind(f), T.DoubleType):
+            return c.isNotNull() & ~F.isnan(c) if self.options.nan_is_null else c.isNotNull()
+        return c.isNotNull() & ~c.isin(self.options.nulls()) if self.options.nulls() else c.isNotNull()
+
     def _named(self, name: str) -> Field:
         return self.field(name)
 
@@ -457,7 +472,7 @@ class Frame:
 
     def _equals(self, name: str, value: Any) -> Column:
         f = self._named(name)
-        kind, c = self.kind(f), F.col(f.id)
+        kind, c = self.kind(f), F.col(f.raw or f.id)
         same = (isinstance(kind, T.StringType) and isinstance(value, str)) or (isinstance(kind, T.NumericType) and isinstance(value, (int, float)) and not isinstance(value, bool))
         if same:
             return c == F.lit(value)
@@ -465,7 +480,7 @@ class Frame:
 
     def filter_by_value(self, values: Mapping[str, Any]):
         """Rows whose values equal these, as text where the types differ."""
-        return self._new(self._sdf.filter(B.all_of([F.coalesce(self._equals(n, v), F.lit(False)) for n, v in values.items()])))
+        return self._new(self._sdf.filter(B.all_of([self._valid(self._named(n)) & self._equals(n, v) for n, v in values.items()])))
 
     def where(self, filters: Mapping[str, Predicate], if_true: Any, if_false: Any, name: str = "") -> Series:
         """``if_true`` where all tests pass, else ``if_false``; null where a tested value is null. Values of two types become text."""
@@ -482,7 +497,7 @@ class Frame:
 
     def drop_null(self, *names: str):
         """Rows without a null in the columns named (all columns by default)."""
-        return self._new(self._sdf.filter(B.all_of([F.col(f.id).isNotNull() for f in self._subset(names)])))
+        return self._new(self._sdf.filter(B.all_of([self._valid(f) for f in self._subset(names)])))
 
     def is_null(self, *names: str):
         """Rows with a null in any of the columns named (all columns by default)."""
