@@ -46,6 +46,11 @@ def public(vocabulary: str = VOCABULARY) -> str:
     return P.path(vocabulary)
 
 
+def encoded_lengths(path: str, pieces: list[str]) -> list[int]:
+    """Token counts of pre-tokens without their first space, which the library puts back; a lone space is the mark itself, one token."""
+    return [len(ids) if piece else 1 for piece, ids in zip(pieces, library(path).encode(pieces, num_threads=1), strict=True)] if pieces else []
+
+
 def pretokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes with a space before every text that isn't empty, and each pre-token's hash, row, start and end."""
     text = data.tobytes()
@@ -123,8 +128,8 @@ def frequent(docs: DataFrame, path: str, most: int = FREQUENT) -> tuple[np.ndarr
 
     found = C.arrow_map(docs.select(F.col("text").cast("string").alias("text")), make, "h long, n long, piece binary")
     rows = found.groupBy("h").agg(F.sum("n").alias("n"), F.min("piece").alias("piece")).orderBy(F.desc("n"), "h").limit(most).select("h", "piece").collect()
-    ids = library(path).encode([bytes(r["piece"])[1:].decode() for r in rows], num_threads=1) if rows else []
-    return np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([len(x) for x in ids], np.int32)
+    counts = encoded_lengths(path, [bytes(r["piece"])[1:].decode() for r in rows])
+    return np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array(counts, np.int32)
 
 
 class Counter:
@@ -143,12 +148,11 @@ class Counter:
             new = [k for k, x in enumerate(got) if x < 0]
             if new:
                 raw = data.tobytes()
-                pieces = [raw[s[miss[first[k]]] + 1 : e[miss[first[k]]]].decode() for k in new]  # the library puts the first space back
+                pieces = [raw[s[miss[first[k]]] + 1 : e[miss[first[k]]]].decode() for k in new]
                 if len(self.cache) + len(new) > CACHE:
                     self.cache.clear()
-                lib = library(self.path)
-                for k, piece, ids in zip(new, pieces, lib.encode(pieces, num_threads=1), strict=True):
-                    got[k] = len(ids) if piece else 1  # a lone space is the mark itself
+                for k, piece, n_ids in zip(new, pieces, encoded_lengths(self.path, pieces), strict=True):
+                    got[k] = n_ids
                     if len(piece) < 64:
                         self.cache[int(u[k])] = got[k]
             n[miss] = np.array(got, np.int32)[back]
