@@ -19,7 +19,6 @@ class Options:
     max_cell_width: int = 30
     merge_repeats: bool = True
     wrap_lines: bool = False
-    warnings: bool = True
 
     def add_null_string(self, text: str) -> None:
         self.null_strings.add(text)

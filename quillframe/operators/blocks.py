@@ -7,14 +7,14 @@ block; everything else happens inside blocks, in parallel. The kept rows make su
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 BLOCK, ROW, POS = "__block", "__row", "__pos"
 #: Rows of a block of positions, for windows over positions.
@@ -39,7 +39,10 @@ def blocks_of(df: DataFrame, order: Sequence[tuple[str, bool]]) -> Blocks:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = directed(order)
     part = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn(ROW, F.monotonically_increasing_id())
-    part = part.withColumns({BLOCK: F.shiftright(ROW, 33).cast("int"), ROW: F.col(ROW).bitwiseAND((1 << 33) - 1)}).persist(StorageLevel.DISK_ONLY)
+    part = part.withColumns({BLOCK: F.shiftright(ROW, 33).cast("int"), ROW: F.col(ROW).bitwiseAND((1 << 33) - 1)})
+    # a cluster that names a shared folder keeps the rows there, where no lost executor takes them; else the executors keep them on
+    # disk, and what is lost is made again with the same ranges
+    part = part.checkpoint() if spark.sparkContext.getConf().get("spark.checkpoint.dir") else part.persist(StorageLevel.DISK_ONLY)
     counts = {r[0]: r[1] for r in part.groupBy(BLOCK).count().collect()}  # one row for each block
     starts, at = [], 0
     for k in range(n):
@@ -88,8 +91,8 @@ def carried(b: Blocks, columns: dict[str, str], forward: bool) -> DataFrame:
     return out.withColumns({name: F.coalesce(name, F.col(f"__c_{c}")) for c, name in columns.items()}).drop(*(f"__c_{c}" for c in columns))
 
 
-def forward_rows(b: Blocks, n: int, aggregates: dict[str, Column]) -> DataFrame:
-    """``aggregates`` over each row and the n - 1 after it. Rows whose window is not complete have that of the last complete one.
+def forward_rows(b: Blocks, n: int, aggregates: dict[str, Callable[[WindowSpec], Column]]) -> DataFrame:
+    """``aggregates``, functions of a window, over each row and the n - 1 after it. Rows whose window is not complete have that of the last complete one.
 
     Blocks of positions overlap by n - 1 rows, so a window never leaves its block.
     """
@@ -100,7 +103,7 @@ def forward_rows(b: Blocks, n: int, aggregates: dict[str, Column]) -> DataFrame:
     copies = F.when((F.col(POS) % span < n - 1) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
     spread = b.df.withColumn(block, F.explode(copies)).withColumn(home, F.col(block) == own)
     w = Window.partitionBy(block).orderBy(POS).rowsBetween(0, n - 1)
-    got = spread.withColumns({k: a.over(w) for k, a in aggregates.items()}).filter(F.col(home) & (F.col(POS) <= b.size - n)).select(F.col(POS).alias("__at"), *aggregates)
+    got = spread.withColumns({k: a(w) for k, a in aggregates.items()}).filter(F.col(home) & (F.col(POS) <= b.size - n)).select(F.col(POS).alias("__at"), *aggregates)
     return b.df.withColumn("__at", F.least(F.col(POS), F.lit(b.size - n))).join(got, "__at").drop("__at")
 
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from quillframe.functions import casts
 from quillframe.operators import blocks as B
@@ -251,6 +251,11 @@ def _windowed(kind: str, c: Column, of: T.DataType, frame: Frame) -> Column | tu
     return reducer(kind, c, of, frame), same
 
 
+def _nth(c: Column, n: int, w: WindowSpec) -> Column:
+    """The n-th row of a window, from its end if negative; nulls are rows."""
+    return F.nth_value(c, n + 1).over(w) if n >= 0 else F.get(F.reverse(F.collect_list(F.struct(c.alias("v"))).over(w)), F.lit(-n - 1))["v"]
+
+
 class RollingRows:
     """Each row with the n - 1 after it. Rows at the end, whose window is cut off, have the last complete window's result."""
 
@@ -262,10 +267,22 @@ class RollingRows:
     def agg(self, kind: str) -> Series:
         s, b, v = self.series, self.series._positions(), new_id()
         a, then = _windowed(kind, F.col(s.value.id), s.type(), s)
-        out = s._placed(b, B.forward_rows(b, self.n, {v: a}))
+        out = s._placed(b, B.forward_rows(b, self.n, {v: a.over}))
         sdf = out._sdf if self.n > b.size else out._sdf.withColumn(v, then(F.col(v)))
         return out._new(sdf, cols=[Field(f"{kind}_{s.value.name}" if s.value.name else kind, v)])
 
+    def nth(self, n: int) -> Series:
+        """The n-th row of each window (from its end if negative), null where there's none."""
+        return self._of("nth", lambda w: _nth(F.col(self.series.value.id), n, w))
+
+    def reduce(self, name: str, function: Callable[[Column, WindowSpec], Column]) -> Series:
+        """``function``: (Column, window) to a Column."""
+        return self._of(name, lambda w: function(F.col(self.series.value.id), w))
+
+    def _of(self, name: str, aggregate: Callable[[WindowSpec], Column]) -> Series:
+        s, b, v = self.series, self.series._positions(), new_id()
+        return s._placed(b, B.forward_rows(b, self.n, {v: aggregate}))._new(cols=[Field(f"{name}_{s.value.name}" if s.value.name else name, v)])
+
     def __getattr__(self, name: str) -> Callable[[], Series]:
         kind = {"std": "stdDev"}.get(name, name)
         if kind not in KINDS:

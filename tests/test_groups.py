@@ -82,6 +82,8 @@ def test_rolling(spark):
     assert roll([1.0, None, None, 4.0], 2).sum().get_values() == [1.0, None, 4.0, 4.0]
     assert roll([1, 2, 3], 4).sum().get_values() == [None, None, None]
     assert roll([1, 5, 3, 3], 3).median().get_values() == [3.0, 3.0, 3.0, 3.0] and roll([1, 1, 2], 2).nunique().get_values() == [1, 2, 2]
+    r = make(spark, 0, v=[1, None, 3, 4])["v"].rolling_n(2)
+    assert r.nth(1).get_values() == [None, 3, 4, 4] and r.nth(-2).get_values() == [1, None, 3, 3] and r.reduce("spread", lambda c, w: F.max(c).over(w) - F.min(c).over(w)).get_values() == [0, 0, 1, 1]
     d = datetime(2020, 1, 1)
     s = make(spark, 0, t=[d, d + timedelta(3), d + timedelta(4), d + timedelta(9)])["t"].rolling_duration(timedelta(5))
     assert s.count().get_values() == [3, 2, 1, 1] and s.latest().get_values()[0] == d + timedelta(4)
