@@ -6,7 +6,7 @@ document of a source with target / size = k + f is taken k times for certain and
 
 Those fractional probabilities are a point in a cube. The flight phase moves it, three documents at a time, along the null space of its
 source's two constraints (total words, total documents) until one of the three is 0 or 1, so both totals stay exactly met. Documents
-are dealt into blocks by a hash, each block flies on its own and leaves at most two documents of each source undecided; these fly
+of a source are dealt into blocks by a hash, each block flies on its own and leaves at most two documents undecided; these fly
 again in ever fewer blocks, until at most two of a source are left. They meet a reserve of about ``RESERVE`` documents of each source
 that waited for this, fly once more, and at most two fractions are left to land: the choice nearest to the target words, after which
 documents of the reserve change places, as many in as out, while that brings the words nearer (only where that ends beyond
@@ -133,24 +133,21 @@ def settle(f: list[float], size: list[float], free: list[bool], want: float, nea
 
 
 def _round(rows: DataFrame, last: bool) -> DataFrame:
-    """Flies every (block, source) on its own."""
+    """Flies every (source, block) on its own."""
 
     def f(p: pd.DataFrame) -> pd.DataFrame:
         # nothing here depends on the order in which rows arrive
         p = p.sort_values(["size", "unit"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        parts = []
-        for rank, q in p.groupby("rank", sort=True):
-            seed = hash((int(rank), int(q["unit"].iloc[0]), len(q)))
-            size, start = q["size"].tolist(), q["f"].tolist()
-            got = fly(start, size, q["rows"].tolist(), seed)
-            if last:
-                want = math.fsum(x * y for x, y in zip(start, size, strict=True))
-                got = settle(land(got, size), size, [_EPS < x < 1 - _EPS for x in start], want, NEAR * float(q["target"].iloc[0]))
-            parts.append(q.assign(f=got))
-        return pd.concat(parts)[["unit", "rank", "rows", "size", "f", "target", "block"]]
+        seed = hash((int(p["rank"].iloc[0]), int(p["unit"].iloc[0]), len(p)))
+        size, start = p["size"].tolist(), p["f"].tolist()
+        got = fly(start, size, p["rows"].tolist(), seed)
+        if last:
+            want = math.fsum(x * y for x, y in zip(start, size, strict=True))
+            got = settle(land(got, size), size, [_EPS < x < 1 - _EPS for x in start], want, NEAR * float(p["target"].iloc[0]))
+        return p.assign(f=got)[["unit", "rank", "rows", "size", "f", "target", "block"]]
 
     C.ship(rows.sparkSession)
-    return rows.groupBy("block").applyInPandas(f, "unit long, rank long, rows double, size double, f double, target double, block long")
+    return rows.groupBy("rank", "block").applyInPandas(f, "unit long, rank long, rows double, size double, f double, target double, block long")
 
 
 def decided(docs: DataFrame, most: int = 3) -> DataFrame:
@@ -167,9 +164,10 @@ def decided(docs: DataFrame, most: int = 3) -> DataFrame:
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     units = units.withColumns({"whole": F.floor(ratio + F.lit(_EPS)).cast("long"), "f": F.greatest(F.lit(0.0), ratio - F.floor(ratio + F.lit(_EPS))), "unit": F.xxhash64(*C.KEY, "source")})
     units = C.written(units, f"{to}/units")
-    n = units.count()
-    blocks, k = max(1, -(-n // BLOCK)), 0
-    all_ = units.select("unit", "rank", "rows", "size", "f", "target", F.pmod(F.xxhash64("unit", F.lit(5)), F.lit(blocks)).alias("block"), (F.pmod(F.xxhash64("unit", F.lit(6)), F.col("n_rows")) < RESERVE).alias("waits"))
+    # a source's blocks follow its own size: no group holds two sources or grows with one
+    own, k = F.greatest(F.lit(1), F.ceil(F.col("n_rows") / BLOCK)), 0
+    blocks = goal.agg(F.max(own)).first()[0] or 1
+    all_ = units.select("unit", "rank", "rows", "size", "f", "target", F.pmod(F.xxhash64("unit", F.lit(5)), own).alias("block"), (F.pmod(F.xxhash64("unit", F.lit(6)), F.col("n_rows")) < RESERVE).alias("waits"))
     reserve = all_.filter("waits").drop("waits").withColumn("block", F.lit(0).cast("long"))
     left, settled = all_.filter("not waits").drop("waits"), None
     while True:
