@@ -64,7 +64,7 @@ def shared_dir(spark: SparkSession) -> str:
     fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
     fs.mkdirs(path)
     fs.deleteOnExit(path)
-    return out
+    return str(fs.makeQualified(path))  # with its scheme: a bare path may mean one store to Spark and another to Python
 
 
 def written(df: DataFrame, to: str) -> DataFrame:

@@ -24,11 +24,11 @@ from quillframe.llm import common as C
 from quillframe.llm import wordhash as W
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks", "n_distinct_words"]
-_SYMBOL, _UPPER, _DIGIT, _MARK = (np.zeros(256, np.int64) for _ in range(4))
-_SYMBOL[list(b"#*$%&|<>")] = 1
-_UPPER[list(range(65, 91))] = 1
-_DIGIT[list(range(48, 58))] = 1
-_MARK[list(b"!?")] = 1
+_SYMBOL, _UPPER, _DIGIT, _MARK = (np.zeros(256, bool) for _ in range(4))
+_SYMBOL[list(b"#*$%&|<>")] = True
+_UPPER[list(range(65, 91))] = True
+_DIGIT[list(range(48, 58))] = True
+_MARK[list(b"!?")] = True
 #: Labelled rows that the rules are learned from at most, by a hash of the id.
 LEARN_ROWS = 20_000
 #: Rows of the pruning third that a rule must cover, and its least share of rejects there.

@@ -43,7 +43,7 @@ def join2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * np.uint64(0xD6E8FEB86659FD93) + mix(b) + np.uint64(1))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     up, down = _powers(len(data) + 1)
     total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0
@@ -51,6 +51,19 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((total[ends] - total[starts]) * down[starts] ^ ((ends - starts).astype(np.uint64) << np.uint64(40)))
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the spans, whose starts and ends ascend. A span's hash doesn't depend on where it lies, so a long text is worked on piece by piece."""
+    if len(data) <= 2 * CHUNK:
+        return _hashes(data, starts, ends)
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK, "right")))
+        low = starts[i]
+        out[i:j] = _hashes(data[low : ends[j - 1]], starts[i:j] - low, ends[i:j] - low)
+        i = j
+    return out
+
+
 class Words(NamedTuple):
     hashes: np.ndarray
     doc: np.ndarray  # row of each word
@@ -80,6 +93,8 @@ def words(data: np.ndarray, at: np.ndarray, lower: bool = False) -> Words:
 
 def per_row(weights: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sum of ``weights`` (one for each byte) in every row."""
+    if len(at) == 2:  # a long text is a chunk of its own
+        return np.array([weights.sum(dtype=np.int64)])
     total = np.zeros(len(weights) + 1, np.int64)
     np.cumsum(weights, out=total[1:])
     return total[at[1:]] - total[at[:-1]]
