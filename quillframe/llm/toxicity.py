@@ -7,7 +7,8 @@ noisy-or of its sentences. Both are trained on document labels alone, by gradien
 telling words a weight. ``sentences`` then says which sentences of a document made its score.
 
 Labels are learned from a bounded sample: at most ``LEARN_ROWS`` labelled rows of either class, those with the smallest hashes of
-their ids, outside the held-out fold. Candidates for weights are the ``FEATURES`` words that tell the classes apart best there, by ``LEAST_APART`` standard errors or more.
+their ids, outside the held-out fold. Each sampled row weighs as many rows of its class as it stands for, so the balance of the classes is that of all
+training labels, whatever the size of the input. Candidates for weights are the ``FEATURES`` words that tell the classes apart best there, by ``LEAST_APART`` standard errors or more.
 
 Nulls: a null text is empty. A text without words has no sentence and scores 0. A null id counts as the empty text for the fold.
 Repeated rows score alike. Without labels of both classes nothing is learned: every text scores 0. An empty table gives an
@@ -94,8 +95,8 @@ def activations(bag: Bags, model: Model, table: Table) -> np.ndarray:
     return z
 
 
-def train(doc: np.ndarray, sentence: np.ndarray, feature: np.ndarray, sentences: np.ndarray, label: np.ndarray, features: int) -> tuple[np.ndarray, float]:
-    """Weights and bias. The first three name the features of each sentence (numbered over all documents); ``sentences`` counts those of each document."""
+def train(doc: np.ndarray, sentence: np.ndarray, feature: np.ndarray, sentences: np.ndarray, label: np.ndarray, features: int, weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Weights and bias; ``weight``: of each document in the loss, 1 by default. The first three name the features of each sentence (numbered over all documents); ``sentences`` counts those of each document."""
     n, held = len(label), int(sentence.max()) + 1 if len(sentence) else 0
     of = np.zeros(held, np.int64)
     of[sentence] = doc
@@ -103,12 +104,13 @@ def train(doc: np.ndarray, sentence: np.ndarray, feature: np.ndarray, sentences:
     w, b = np.zeros(features), -5.0
     m1, m2 = np.zeros(features + 1), np.zeros(features + 1)
     y = label.astype(bool)
+    part = np.full(n, 1 / n) if weight is None else weight / weight.sum()
     for t in range(1, STEPS + 1):
         z = b + np.bincount(sentence, w[feature], minlength=held)
         total = np.bincount(of, _softplus(z), minlength=n) + plain * _softplus(b)
         clean = np.exp(-total)
         said = WRONG + (1 - 2 * WRONG) * (1 - clean)  # of being labelled toxic
-        slope = (1 - 2 * WRONG) * clean * np.where(y, -1 / said, 1 / (1 - said)) / n
+        slope = (1 - 2 * WRONG) * clean * np.where(y, -1 / said, 1 / (1 - said)) * part
         dz = slope[of] / (1 + np.exp(-z))
         g = np.append(np.bincount(feature, dz[sentence], minlength=features), dz.sum() + (slope * plain).sum() / (1 + np.exp(-b)))
         m1 = 0.9 * m1 + 0.1 * g
@@ -128,10 +130,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LEARN_ROWS, folds: int =
     to = C.shared_dir(spark)
     known = labels.filter("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") != 0).alias("toxic")).filter(C.fold(F.col("doc_id"), folds) != 0)
     known = known.withColumn("h", F.xxhash64("doc_id"))
+    all_of = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows at most
     some = [known.filter(x).orderBy("h", "doc_id").limit(most) for x in ("toxic", "not toxic")]
     ids = C.written(some[0].unionByName(some[1]), f"{to}/ids")
-    if ids.select("toxic").distinct().count() < 2:
+    sampled = {r["toxic"]: r["count"] for r in ids.groupBy("toxic").count().collect()}
+    if len(sampled) < 2:
         return Model(np.empty(0, np.uint64), np.empty(0), -np.inf)
+    heavy = {k: all_of[k] / n for k, n in sampled.items()}  # rows of its class that a sampled one stands for
     part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")  # at most two samples of ids
     part = C.written(part.select("doc_id", "toxic", "text"), f"{to}/sample")
 
@@ -157,9 +162,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LEARN_ROWS, folds: int =
     if not 0 < toxic < rows:
         return Model(np.empty(0, np.uint64), np.empty(0), -np.inf)
     found = C.arrow_map(part.select("toxic", "text"), seen, "h long, a long, n long").groupBy("h").agg(F.sum("a").alias("a"), F.sum("n").alias("n")).filter(F.col("n") >= LEAST_ROWS)
-    # the root of chi-square of the word and the label
-    share = toxic / rows
-    apart = F.abs((F.col("a") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share) * (1 - F.col("n") / (rows + 1))))
+    # the root of chi-square of the word and the label; how common the word is comes from the classes at their true balance
+    yes, no, share = heavy[True], heavy[False], toxic / rows
+    n = (F.col("a") * yes + (F.col("n") - F.col("a")) * no) * (rows / (yes * toxic + no * (rows - toxic)))
+    apart = F.abs((F.col("a") - F.col("n") * share) / F.sqrt(n * share * (1 - share) * (1 - n / (rows + 1))))
     top = found.filter(apart >= LEAST_APART).orderBy(apart.desc(), "h").limit(FEATURES).select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64)
     names = np.sort(top)
 
@@ -188,7 +194,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LEARN_ROWS, folds: int =
     f = np.concatenate([np.frombuffer(x, np.int32) for x in rows["f"]]).astype(np.int64)
     doc = np.repeat(np.arange(len(s)), [len(x) for x in s])
     _, sentence = np.unique(doc.astype(np.int64) << 32 | np.concatenate(s), return_inverse=True)
-    w, b = train(doc, sentence, f, rows["n"].to_numpy(), rows["toxic"].to_numpy(bool), len(names))
+    y = rows["toxic"].to_numpy(bool)
+    w, b = train(doc, sentence, f, rows["n"].to_numpy(), y, len(names), np.where(y, yes, no))
     return Model(names[w != 0], w[w != 0], b)
 
 
