@@ -10,7 +10,8 @@ Decoding concatenates the tokens' bytes, again by halves.
 Texts of up to ``LEAF`` characters are one leaf, encoded by the library. Ids, never text, travel between the functions.
 
 Nulls: a null text is empty: no tokens, and the digests of nothing. A null id passes through. Repeated rows give repeated rows, an
-empty table an empty one. Extra columns are kept by ``encoded`` and ignored by ``digests``.
+empty table an empty one; the library breaks ties of merges by rank. A text above ``LEAF`` characters is encoded by halves, however long.
+Extra columns of any name are kept by ``encoded`` (but one named as its result) and ignored by ``digests``.
 """
 
 from __future__ import annotations
@@ -131,19 +132,15 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
 
 def encoded(docs: DataFrame, column: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """``docs`` with its texts' token ids in ``column``."""
-    row, text = f"{C.OWN}row", f"{C.OWN}text"
+    C.ship(docs.sparkSession)
 
-    def make():
+    def ids(text: pa.Array) -> pa.Array:
         k = codec(*((path, pattern) if path else public()))
+        return pa.array([np.array(k.encode(x), np.int32) for x in C.texts(text)], pa.list_(pa.int32()))
 
-        def f(b: pa.RecordBatch) -> pa.RecordBatch:
-            ids = pa.array([np.array(k.encode(x), np.int32) for x in C.texts(b.column(1))], pa.list_(pa.int32()))
-            return pa.RecordBatch.from_arrays([b.column(0), ids], names=[row, column])
-
-        return f
-
-    thin = docs.select(F.struct(*(c for c in docs.columns if c != column)).alias(row), F.col("text").cast("string").alias(text))
-    return C.arrow_map(thin, make, f"{row} {thin.schema[0].dataType.simpleString()}, `{column}` array<int>").select(f"{row}.*", column)
+    ids.__annotations__ = {"text": pa.Array, "return": pa.Array}  # not as texts: Spark reads them
+    made = F.arrow_udf(ids, "array<int>")(F.col("text").cast("string"))
+    return docs.select(*(C.name(c) for c in docs.columns if c != column), made.alias(column))
 
 
 def decoded(docs: DataFrame, column: str = "ids", to: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:

@@ -17,8 +17,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Every column that an operator adds for its own use starts with this, so it never meets a caller's column.
-OWN = "__quill_"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -31,23 +29,47 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def with_key(df: DataFrame, *hashed: str) -> DataFrame:
-    """Adds the columns that name a row: its id, whether that is null, and a hash of ``hashed`` (the text by default)."""
-    return df.withColumns(
-        {
-            f"{OWN}id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
-            f"{OWN}no_id": F.col("doc_id").isNull(),
-            f"{OWN}hash": F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in hashed or ("text",))),
-        }
-    )
+KEY = ("id", "no_id", "hash")
+#: Rows that a broadcast of row keys has at most: some 10 MB.
+FEW = 1 << 18
+
+
+def name(column: str) -> Column:
+    """A column by its whole name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
 
+def row_key(*hashed: str) -> list[Column]:
+    """The columns ``KEY``, which name a row: its id, whether that is null, and a hash of ``hashed`` (the text by default) and their nulls."""
+    parts = [x for c in hashed or ("text",) for x in (F.col(c).isNull(), F.coalesce(F.col(c).cast("string"), F.lit("")))]
+    found = (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull(), F.xxhash64(*parts))
+    return [c.alias(k) for c, k in zip(found, KEY, strict=True)]
 
-KEY = [f"{OWN}id", f"{OWN}no_id", f"{OWN}hash"]
+
+def with_key(df: DataFrame, *hashed: str) -> DataFrame:
+    """``row``, a struct of all columns of ``df``, and the columns ``KEY``: no name of a caller's meets one of these."""
+    return df.select(F.struct(*map(name, df.columns)).alias("row"), *row_key(*hashed))
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame, *hashed: str) -> DataFrame:
-    """Rows of ``docs`` whose key is in ``kept``, once each: rows that share id and text are one row repeated."""
-    return with_key(docs, *hashed).join(kept.select(*KEY), KEY, "left_semi").dropDuplicates(KEY).select(*docs.columns)
+def keep_rows(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that are kept, once each: rows that share id and text are one row repeated.
+
+    ``judged``: ``KEY`` and ``kept`` of every row. Where few keys are dropped or repeated, these go to every task and no row moves; else
+    the rows are dealt by their keys.
+    """
+    spark = docs.sparkSession
+    keys = judged.groupBy(*KEY).agg(F.count("*").alias("n"), F.max("kept").alias("kept")).filter("n > 1 or not kept")
+    keys = written(keys, f"{shared_dir(spark)}/odd")
+    n = keys.agg(F.count("*"), F.sum(F.col("kept").cast("int"))).first()
+    rows = with_key(docs)
+    if n[0] > FEW:
+        gone = keys.filter("not kept").select(*KEY)
+        return rows.join(gone, list(KEY), "left_anti").dropDuplicates(list(KEY)).select("row.*")
+    once = rows.join(F.broadcast(keys.select(*KEY)), list(KEY), "left_anti").select("row.*")  # at most FEW rows
+    if not n[1]:
+        return once
+    again = rows.join(F.broadcast(keys.filter("kept").select(*KEY)), list(KEY), "left_semi").dropDuplicates(list(KEY))
+    return once.unionByName(again.select("row.*"))
 
 
 def shared_dir(spark: SparkSession) -> str:

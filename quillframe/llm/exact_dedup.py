@@ -2,15 +2,16 @@
 
 Texts are equal when they are identical after deleting every character of ``[\\x20\\x09-\\x0D]``. Each row becomes a thin
 entry: the 256-bit digest of that normalised text, its length in code points and its id. Entries of one digest are combined on
-the map side, so a text that a third of all rows share reaches its owner as one entry from each task. The 64-bit key space
+the map side, so a text that a third of all rows share reaches its owner as one entry from each batch. The 64-bit key space
 is cut into equal ranges, each owned by one task, which inserts its entries into an extendible-hash index: a directory of
 2**depth slots doubles when an overfull bucket can't split any other way; a bucket whose entries all share one key chains
 overflow pages; entries that collide on the key are told apart by comparing all bytes of their digests. The owner's index
 is then one file in the shared folder, written whole or not at all, which ``Index.open`` maps for later batches.
 
 Nulls: a null text is empty, and all empty texts are equal. A null id sorts after every other. Repeated rows (same id, same
-text) count one by one in ``group_size``, and one of them stays. An empty table gives an empty result. Extra columns of any
-name pass through ``deduplicated`` and are ignored by ``classes``.
+text) count one by one in ``group_size``, and one of them stays. Of equal texts of one length and id, the first row read stays. A text
+of any length is digested whole, one at a time. An empty table gives an empty result. Extra columns of any name, dots included, pass
+through ``deduplicated`` and are ignored by ``classes``.
 """
 
 from __future__ import annotations
@@ -29,10 +30,8 @@ from quillframe.llm import common as C
 _DROP = b"\x20\x09\x0a\x0b\x0c\x0d"
 _ENTRY = struct.Struct("<Q32sqqqq")  # key, digest, rows, best length, best id (or its absence), best row
 _HEAD = struct.Struct("<4sHHQQ")
-#: Entries that a task combines before it sends them on.
-COMBINE = 100_000
 #: Entries of the largest index that one owner builds, on average.
-OWNED = 200_000
+OWNED = 50_000
 _NO_ID = 2**63 - 1
 
 
@@ -143,26 +142,20 @@ def _digests():
     return f
 
 
-def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[bytes, list] = {}
+def _combine():
+    """One entry for each digest of a batch: its rows, and the best of them."""
 
-    def out() -> pa.RecordBatch:
-        cols = [pa.array(list(held), pa.binary()), pa.array([e[0] for e in held.values()], pa.int64()), *(pa.array([e[1][k] for e in held.values()], pa.int64()) for k in range(3))]
+    def f(b: pa.RecordBatch) -> pa.RecordBatch:
+        digest = b.column(0).dictionary_encode()
+        chars, i, row = (b.column(c).to_numpy(zero_copy_only=False) for c in ("chars", "id", "row"))
+        i = np.where(b.column("no_id").to_numpy(zero_copy_only=False), _NO_ID, i)
+        code = digest.indices.to_numpy()
+        order = np.lexsort((row, i, -chars, code))
+        first = order[np.flatnonzero(np.r_[True, np.diff(code[order]) != 0])]
+        cols = [digest.dictionary.take(pa.array(code[first])), pa.array(np.bincount(code)[code[first]]), pa.array(-chars[first]), pa.array(i[first]), pa.array(row[first])]
         return pa.RecordBatch.from_arrays(cols, names=["digest", "rows", "chars", "best_id", "best_row"])
 
-    for b in batches:
-        for digest, chars, i, no_id, row in zip(*(b.column(c).to_pylist() for c in ("digest", "chars", "id", "no_id", "row")), strict=True):
-            best = (-chars, _NO_ID if no_id else i, row)
-            if (e := held.get(digest)) is None:
-                held[digest] = [1, best]
-            else:
-                e[0] += 1
-                e[1] = min(e[1], best)
-        if len(held) >= COMBINE:
-            yield out()
-            held.clear()
-    if held:
-        yield out()
+    return f
 
 
 def classes(docs: DataFrame, capacity: int = 64, index_dir: str | None = None) -> DataFrame:
@@ -177,9 +170,15 @@ def classes(docs: DataFrame, capacity: int = 64, index_dir: str | None = None) -
     )
 
 
+_THIN = "id long, no_id boolean, hash long, chars long, digest binary"
+
+
+def _thin(docs: DataFrame) -> DataFrame:
+    return docs.select(*C.row_key(), F.col("text").cast("string").alias("text"))
+
+
 def _rows(docs: DataFrame) -> DataFrame:
-    thin = C.with_key(docs).select(F.col(C.KEY[0]).alias("id"), F.col(C.KEY[1]).alias("no_id"), F.col(C.KEY[2]).alias("hash"), F.col("text").cast("string").alias("text"))
-    rows = C.arrow_map(thin, _digests, "id long, no_id boolean, hash long, chars long, digest binary")
+    rows = C.arrow_map(_thin(docs), _digests, _THIN)
     return C.written(rows.withColumn("row", F.monotonically_increasing_id()), f"{C.shared_dir(docs.sparkSession)}/rows")
 
 
@@ -209,7 +208,7 @@ def _classed(rows: DataFrame, capacity: int, to: str) -> DataFrame:
                 index.add(key_of(digest), digest, n, (chars, i, row))
         yield from ended()
 
-    entries = C.map_batches(rows, _combine, "digest binary, rows long, chars long, best_id long, best_row long")
+    entries = C.arrow_map(rows.select("digest", "id", "no_id", "chars", "row"), _combine, "digest binary, rows long, chars long, best_id long, best_row long")
     owner = F.shiftrightunsigned(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long"), 32 - bits)
     dealt = entries.withColumn("owner", owner).repartition(owners, "owner").sortWithinPartitions("owner")
     groups = C.map_batches(dealt.select("owner", "digest", "rows", "chars", "best_id", "best_row"), own, "digest binary, group_size long, keep_id long, keep_row long")
@@ -219,8 +218,7 @@ def _classed(rows: DataFrame, capacity: int, to: str) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     rows = _rows(docs)
-    kept = _classed(rows, 64, C.shared_dir(docs.sparkSession)).filter("kept")
-    return C.keep_rows(docs, kept.select(*(F.col(a).alias(b) for a, b in zip(("id", "no_id", "hash"), C.KEY, strict=True))))
+    return C.keep_rows(docs, _classed(rows, 64, C.shared_dir(docs.sparkSession)))
 
 
 def duplicates_of(docs: DataFrame, index_dir: str, owner_bits: int) -> DataFrame:
@@ -247,8 +245,7 @@ def duplicates_of(docs: DataFrame, index_dir: str, owner_bits: int) -> DataFrame
 
         return f
 
-    thin = C.with_key(docs).select(F.col(C.KEY[0]).alias("id"), F.col(C.KEY[1]).alias("no_id"), F.col(C.KEY[2]).alias("hash"), F.col("text").cast("string").alias("text"))
-    return C.arrow_map(C.arrow_map(thin, _digests, "id long, no_id boolean, hash long, chars long, digest binary"), make, "doc_id long, known_id long")
+    return C.arrow_map(C.arrow_map(_thin(docs), _digests, _THIN), make, "doc_id long, known_id long")
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:

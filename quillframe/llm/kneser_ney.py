@@ -22,7 +22,7 @@ context never seen leaves the lower order; a text's first token has the start as
 1 / (V + 1). In a model of order two the bigrams keep their own counts.
 
 Nulls: a null text is empty: its one token is the end. A null id counts as the empty text for the fold. Repeated rows are counted
-and scored one by one. Without training rows V and N are 0 and every token has probability 1. An empty table gives an empty result;
+and scored one by one. A text of any length is counted and scored whole, as a chunk of its own. Without training rows V and N are 0 and every token has probability 1. An empty table gives an empty result;
 extra columns are ignored. At most 2**32 - 2 different words.
 """
 
@@ -43,7 +43,7 @@ from quillframe.llm import wordhash as W
 FOLDS, HELD_OUT, ORDER = 7, 2, 3
 END = W.mix(np.array([0xE0D], np.uint64))[0]
 #: Entries that a tally holds at most, and bytes of text for each shard.
-TALLY, SHARD_BYTES, LEAST_SHARDS = 3_000_000, 1 << 25, 32
+TALLY, SHARD_BYTES, LEAST_SHARDS = 1_500_000, 1 << 25, 32
 #: Bytes that are scored at once.
 SCORE_CHUNK = W.CHUNK // 3
 
@@ -74,13 +74,20 @@ def merged3(keys: np.ndarray, thirds: np.ndarray, counts: np.ndarray) -> tuple[n
 class Tally:
     def __init__(self, thirds: bool = False):
         self.parts: list[tuple[np.ndarray, ...]] = []
-        self.size, self.thirds = 0, thirds
+        self.size, self.least, self.thirds = 0, TALLY, thirds
 
     def add(self, *entries: np.ndarray) -> None:
         """Keys, third words if the tally has them, counts."""
         self.parts.append((*entries[:-1], entries[-1].astype(np.int64)))
         self.size += len(entries[0])
 
+    def gather(self, *entries: np.ndarray) -> None:
+        """``add``, and merges what is held as often as it has doubled."""
+        self.add(*entries)
+        if self.size > self.least:
+            self.settle()
+            self.least = max(TALLY, 2 * self.size)
+
     def settle(self) -> tuple[np.ndarray, ...]:
         if not self.parts:
             return np.empty(0, np.uint64), *([np.empty(0, np.uint32)] * self.thirds), np.empty(0, np.int64)
@@ -154,9 +161,7 @@ def by_shard(df: DataFrame, shards: int, finish: Callable[..., Iterator[pa.Recor
                     if held >= 0:
                         yield from finish(held, *tally.settle())
                     held, tally = s, Tally(thirds)
-                tally.add(unpack(keys, n, True), *([unpack(third, n).astype(np.uint32)] if thirds else []), unpack(counts, n))
-                if tally.size > 4 * TALLY:
-                    tally.settle()
+                tally.gather(unpack(keys, n, True), *([unpack(third, n).astype(np.uint32)] if thirds else []), unpack(counts, n))
         if held >= 0:
             yield from finish(held, *tally.settle())
 
@@ -486,9 +491,7 @@ def train(texts: DataFrame, folder: str | None = None, order: int = 2) -> Model:
                         if held >= 0:
                             yield from ended(held, tallies)
                         held, tallies = s, {k: Tally() for k in ("after", "hot0", "hot1", "hot2")}
-                    tallies[kind].add(unpack(keys, n, True), unpack(counts, n))
-                    if tallies[kind].size > 4 * TALLY:
-                        tallies[kind].settle()
+                    tallies[kind].gather(unpack(keys, n, True), unpack(counts, n))
             if held >= 0:
                 yield from ended(held, tallies)
 

@@ -9,8 +9,9 @@ runs in the JVM and a rule can be read, edited and stored.
 The base rule comes first: fewer than 50 words, or more than half of the words in repeated 3-word windows, fail.
 
 Nulls: a null text has no words and fails the base rule; rows without a label are not learned from; a table of labels
-without both classes gives no rules. Repeated rows count one by one. An empty table gives an empty result.
-Extra columns are ignored by ``judged`` and kept by ``accepted``.
+without both classes gives no rules. Repeated rows count one by one; equal lines and windows are told by 64-bit hashes of their words. Of
+thresholds or prunings of equal worth the first counts. A text of any length is counted whole, as a chunk of its own. An empty table gives
+an empty result. Extra columns of any name are ignored by ``judged`` and kept by ``accepted``.
 """
 
 from __future__ import annotations
@@ -81,14 +82,17 @@ def _distinct(hashes: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(d[new], minlength=n)
 
 
+def _counts_of(texts: pa.Array) -> np.ndarray:
+    data, at = C.text_bytes(texts)
+    return np.concatenate([counts(data[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in C.chunks(at, W.CHUNK)] or [np.empty((0, len(COUNTS)), np.int64)])
+
+
 def _count_batch(first: int):
     """Counts of the last column; the ``first`` columns pass through."""
 
     def make():
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
-            data, at = C.text_bytes(b.column(first))
-            rows = [counts(data[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in C.chunks(at, W.CHUNK)]
-            found = np.concatenate(rows)
+            found = _counts_of(b.column(first))
             return pa.RecordBatch.from_arrays([*b.columns[:first], *(pa.array(found[:, k]) for k in range(len(COUNTS)))], names=[*b.schema.names[:first], *COUNTS])
 
         return f
@@ -98,7 +102,7 @@ def _count_batch(first: int):
 
 def statistics(docs: DataFrame, *keys: str) -> DataFrame:
     """The columns ``keys`` and the counts of every row's ``text``."""
-    thin = docs.select(*keys, F.col("text").cast("string").alias(f"{C.OWN}text"))
+    thin = docs.select(*keys, F.col("text").cast("string").alias("text of the row"))
     schema = ", ".join(f"`{c}` {t}" for c, t in thin.dtypes[:-1]) + "".join(f"{', ' if keys or k else ''}{c} long" for k, c in enumerate(COUNTS))
     return C.arrow_map(thin, _count_batch(len(keys)), schema)
 
@@ -196,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LEARN_ROWS) -> list[Rule
     """Rules from at most ``most`` labelled rows (the smallest hashes of their ids); ``quality`` 0 is a reject."""
     spark = docs.sparkSession
     some = labels.filter("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    some = some.withColumn(f"{C.OWN}h", F.xxhash64("doc_id")).orderBy(f"{C.OWN}h", "doc_id", "quality").limit(most)
+    some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
     ids = C.written(some, f"{C.shared_dir(spark)}/ids")
     part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")  # at most LEARN_ROWS ids
     tests = ratios()
@@ -218,12 +222,18 @@ def judged(docs: DataFrame, labels: DataFrame, *keys: str, rules: list[Rule] | N
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns."""
+    """The rows of ``docs`` that pass, with all their columns. Only texts go to Python, and only counts come back."""
     rules = fit(docs, labels)
-    row = f"{C.OWN}row"
-    whole = docs.select(F.struct(*docs.columns).alias(row), "text")
-    tests = statistics(whole, row).filter(~base_failed() & expression(rules).isNull())
-    return tests.select(f"{row}.*")
+    C.ship(docs.sparkSession)
+
+    def count(text: pa.Array) -> pa.Array:
+        found = _counts_of(text)
+        return pa.StructArray.from_arrays([pa.array(found[:, k]) for k in range(len(COUNTS))], names=COUNTS)
+
+    count.__annotations__ = {"text": pa.Array, "return": pa.Array}  # not as texts: Spark reads them
+    counted = F.arrow_udf(count, ", ".join(f"{c} long" for c in COUNTS))
+    rows = docs.select(F.struct(*map(C.name, docs.columns)).alias("row"), counted(F.col("text").cast("string")).alias("counts")).select("row", "counts.*")
+    return rows.filter(~base_failed() & expression(rules).isNull()).select("row.*")
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -7,14 +7,18 @@ fingerprint zero. Two fingerprints link when they differ in at most ``radius`` b
 Distinct fingerprints are grouped by population count and cut into tiles of a bounded size. Two numbers that differ in d bits have
 population counts that differ by at most d, so only pairs of tiles whose counts are within the radius are compared; the same bound on
 the counts of 16-bit quarters skips blocks inside a pair. What remains is compared in full by exclusive-or and bit counts. A pair of
-tiles returns the spanning forest of its links, never all of them; components are then found over the forests.
+tiles returns the spanning forest of its links, never all of them; components are then found over the forests. Tiles are files in the
+shared folder, which tasks map by name; the pairs come from a join of the tiles' names, so neither tiles nor pairs pass through the driver.
 
 Nulls: a null text is empty; a null id has no say in ``component_id``, which is null for a component of null ids only. Repeated
-rows share a fingerprint and so a component. An empty table gives an empty result.
+rows share a fingerprint and so a component. An empty table gives an empty result. A text of any length is hashed whole, one at a time;
+a word longer than others is hashed like them. ``deduplicated`` keeps extra columns of any name, ``classes`` ignores them.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,6 +32,8 @@ from quillframe.llm.components import components
 TILE = 1 << 17
 #: Comparisons at once.
 BLOCK = 1 << 21
+#: Tiles on either side of a square of pairs.
+HELD = 8
 #: Tiles from which quarters pay for their smaller blocks.
 FINE = 12_000
 _ONE = np.uint64(1)
@@ -60,7 +66,7 @@ def _fingerprints(shingle: int):
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """A written table of the rows' keys and fingerprints (as signed longs)."""
-    thin = C.with_key(docs).select(*(F.col(k).alias(n) for k, n in zip(C.KEY, ("id", "no_id", "hash"), strict=True)), F.col("text").cast("string").alias("text"))
+    thin = docs.select(*C.row_key(), F.col("text").cast("string").alias("text"))
     return C.written(C.arrow_map(thin, _fingerprints(shingle), "id long, no_id boolean, hash long, fp long"), f"{C.shared_dir(docs.sparkSession)}/fps")
 
 
@@ -77,8 +83,15 @@ def _blocks(fps: np.ndarray, parts: int) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Each fingerprint of a or b that has a link, with its component's root; the roots link to themselves no more."""
-    parts = 4 if min(len(a), len(b)) >= FINE else 2
-    left, right = _blocks(a, parts), _blocks(b, parts)
+    parts = _parts(len(a), len(b))
+    return _forest(_blocks(a, parts), _blocks(b, parts), radius, same)
+
+
+def _parts(*sizes: int) -> int:
+    return 4 if min(sizes) >= FINE else 2
+
+
+def _forest(left: list, right: list, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
     at = np.array([c for c, _ in right], np.int16)
     parent: dict[int, int] = {}
 
@@ -102,13 +115,34 @@ def forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.nd
     return np.array(nodes, np.uint64), np.array([root(x) for x in nodes], np.uint64)
 
 
-def _compare(radius: int):
+def _store(to: str):
+    """Writes each tile as a file of sorted fingerprints."""
+
     def make():
+        def f(b: pa.RecordBatch) -> pa.RecordBatch:
+            n = []
+            for pc, chunk, fps in zip(b.column("pc").to_pylist(), b.column("chunk").to_pylist(), b.column("fps"), strict=True):
+                x = np.sort(np.asarray(fps.values, np.int64).view(np.uint64))
+                C.put_bytes(f"{to}/{pc:02d}-{chunk:08x}", [x.tobytes()])
+                n.append(len(x))
+            return pa.RecordBatch.from_arrays([b.column("pc"), b.column("chunk"), pa.array(n, pa.int64())], names=["pc", "chunk", "n"])
+
+        return f
+
+    return make
+
+
+def _compare(to: str, radius: int):
+    def make():
+        @lru_cache(2 * HELD)
+        def tile(pc: int, chunk: int, parts: int) -> list:
+            return _blocks(np.frombuffer(C.mapped(f"{to}/{pc:02d}-{chunk:08x}"), np.uint64), parts)
+
         def f(b: pa.RecordBatch) -> pa.RecordBatch | None:
             out = []
-            for i in range(b.num_rows):
-                a, c = (np.asarray(b.column(k)[i].values, np.int64).view(np.uint64) for k in ("fa", "fb"))
-                out.append(forest(a, c, radius, bool(b.column("same")[i].as_py())))
+            for pa_, ca, na, pb, cb, nb in zip(*(b.column(c).to_pylist() for c in ("pa", "ca", "na", "pb", "cb", "nb")), strict=True):
+                parts = _parts(na, nb)
+                out.append(_forest(tile(pa_, ca, parts), tile(pb, cb, parts), radius, (pa_, ca) == (pb, cb)))
             u, v = (np.concatenate([x[k] for x in out]).view(np.int64) for k in range(2))
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["a", "b"]) if len(u) else None
 
@@ -117,6 +151,14 @@ def _compare(radius: int):
     return make
 
 
+def tile_pairs(tiles: DataFrame, radius: int) -> DataFrame:
+    """The pairs of ``tiles`` (pc, chunk, n) to compare, each once, and the square of pairs it belongs to: those of a square share their tiles."""
+    side = lambda x: tiles.select(F.col("pc").alias(f"p{x}"), F.col("chunk").alias(f"c{x}"), F.col("n").alias(f"n{x}"))
+    near = side("a").withColumn("pb", F.explode(F.sequence(F.col("pa"), F.col("pa") + radius)))
+    both = near.join(side("b"), "pb").filter("pa < pb or ca <= cb")
+    return both.withColumn("square", F.struct("pa", "pb", F.floor(F.col("ca") / HELD).alias("a"), F.floor(F.col("cb") / HELD).alias("b")))
+
+
 def linked(fps: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
     """``fps`` (fp long, distinct) gives (node, label) of every fingerprint with a link to another."""
     spark = fps.sparkSession
@@ -127,16 +169,11 @@ def linked(fps: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
     if not counts:
         return fps.select(F.col("fp").alias("node"), F.col("fp").alias("label")).limit(0)
     chunks = F.element_at(F.create_map(*(F.lit(x) for kv in counts.items() for x in kv)), F.col("pc"))
-    tiles = fps.select(F.col("pc").alias("pc"), F.pmod(F.xxhash64("fp"), chunks).cast("int").alias("chunk"), "fp")
-    tiles = C.written(tiles.groupBy("pc", "chunk").agg(F.sort_array(F.collect_list("fp")).alias("fps")), f"{to}/tiles")
-    names = [(pc, k) for pc in sorted(counts) for k in range(counts[pc])]
-    pairs = [(i * len(names) + j, *names[i], *names[j], i == j) for i in range(len(names)) for j in range(i, len(names)) if names[j][0] - names[i][0] <= radius]
-    pairs = spark.createDataFrame(pairs, "pair long, pa int, ca int, pb int, cb int, same boolean")
-    a = tiles.select(F.col("pc").alias("pa"), F.col("chunk").alias("ca"), F.col("fps").alias("fa"))
-    b = tiles.select(F.col("pc").alias("pb"), F.col("chunk").alias("cb"), F.col("fps").alias("fb"))
-    work = pairs.join(a, ["pa", "ca"]).join(b, ["pb", "cb"]).select("pair", "same", "fa", "fb")
-    work = work.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, len(names)), "pair").select("same", "fa", "fb")
-    return components(C.arrow_map(work, _compare(radius), "a long, b long"))
+    tiles = fps.select("pc", F.pmod(F.xxhash64("fp"), chunks).cast("int").alias("chunk"), "fp").groupBy("pc", "chunk").agg(F.collect_list("fp").alias("fps"))
+    tiles = C.written(C.arrow_map(tiles, _store(f"{to}/tiles"), "pc int, chunk int, n long"), f"{to}/meta")
+    work = tile_pairs(tiles, radius).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, sum(counts.values())), "square")
+    work = work.sortWithinPartitions("square", "ca", "cb").select("pa", "ca", "na", "pb", "cb", "nb")
+    return components(C.arrow_map(work, _compare(f"{to}/tiles", radius), "a long, b long"))
 
 
 def _components(rows: DataFrame, radius: int) -> DataFrame:
@@ -159,8 +196,8 @@ def classes(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
 def deduplicated(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
     """One row of ``docs`` for each component: the one with the smallest id (null last)."""
     rows = fingerprints(docs, shingle)
-    best = _components(rows, radius).select("best.*").distinct()
-    return C.keep_rows(docs, best.select(*(F.col(a).alias(b) for a, b in zip(("id", "no_id", "hash"), C.KEY, strict=True))))
+    judged = rows.join(_components(rows, radius), "fp")
+    return C.keep_rows(docs, judged.select(*C.KEY, (F.struct("no_id", "id", "hash") == F.col("best")).alias("kept")))
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:

@@ -1,15 +1,16 @@
-"""Token counts by a two-tier lookup on the map side: no pre-token is shuffled.
+"""Token counts by a two-tier lookup on the map side: no text or pre-token is shuffled to be counted.
 
 The tokenizer turns spaces into its own mark and puts one before the text. No piece of its vocabulary goes on past such a mark, so a
 text's tokens are those of its pre-tokens: a run of spaces with the characters up to the next run. The first tier is a
 compact hash table of the token counts of frequent pre-tokens, broadcast to every task. It is found over the whole corpus: each
-batch sends the commonest of its own, at most ``BATCH_TOP``, and the ``FREQUENT`` with the largest totals stay; what it holds
-only decides how fast a text is counted. The second tier encodes what the first misses, once a worker, and keeps the
+batch sends those of under ``SHORT`` bytes that it has twice or more often, the ``BATCH_TOP`` commonest at most, and the ``FREQUENT`` with the
+largest totals stay; what it holds only decides how fast a text is counted. The second tier encodes what the first misses, once a worker, and keeps the
 counts in a cache of bounded size. A vocabulary that has a piece across a mark is refused; ``whole`` counts with it
 text by text.
 
 Nulls: a null text is empty: 0 bytes, 0 tokens. A null id passes through. Repeated rows give repeated rows, an empty table
-an empty one; extra columns are ignored.
+an empty one; extra columns are ignored. Of pre-tokens that are equally common the smaller hashes go into the table, which changes no
+count. A text of any length is counted whole. Pre-tokens are told by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ from quillframe.llm import common as C
 from quillframe.llm import wordhash as W
 
 VOCABULARY = "piece_bpe_32k.model"
-FREQUENT, BATCH_TOP, CACHE = 1 << 16, 4_096, 400_000
+FREQUENT, BATCH_TOP, CACHE = 1 << 16, 4_096, 200_000
+#: Bytes of pre-tokens from which neither the table nor a cache keeps them.
+SHORT = 64
 LIMIT = 4_096
 _MARK = "▁".encode()
 
@@ -114,8 +117,10 @@ def frequent(docs: DataFrame, path: str, most: int = FREQUENT) -> tuple[np.ndarr
             held: dict[int, list] = {}
             for i, j in C.chunks(at, W.CHUNK):
                 part, h, _, s, e = pretokens(data[at[i] : at[j]], at[i : j + 1] - at[i])
+                h, s, e = (x[e - s < SHORT] for x in (h, s, e))
                 u, first, n = np.unique(h, return_index=True, return_counts=True)
                 top = np.argsort(-n, kind="stable")[:BATCH_TOP]
+                top = top[n[top] > 1]
                 for k in top.tolist():
                     if (x := held.get(u[k])) is None:
                         held[u[k]] = [int(n[k]), part[s[first[k]] : e[first[k]]].tobytes()]
@@ -153,7 +158,7 @@ class Counter:
                     self.cache.clear()
                 for k, piece, n_ids in zip(new, pieces, encoded_lengths(self.path, pieces), strict=True):
                     got[k] = n_ids
-                    if len(piece) < 64:
+                    if len(piece) < SHORT:
                         self.cache[int(u[k])] = got[k]
             n[miss] = np.array(got, np.int32)[back]
         return np.bincount(doc, n, minlength=len(at) - 1).astype(np.int64)

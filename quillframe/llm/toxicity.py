@@ -8,10 +8,10 @@ telling words a weight. ``sentences`` then says which sentences of a document ma
 
 Labels are learned from a bounded sample: at most ``LEARN_ROWS`` labelled rows of either class, those with the smallest hashes of
 their ids, outside the held-out fold. Each sampled row weighs as many rows of its class as it stands for, so the balance of the classes is that of all
-training labels, whatever the size of the input. Candidates for weights are the ``FEATURES`` words that tell the classes apart best there, by ``LEAST_APART`` standard errors or more.
+training labels, whatever the size of the input. ``LEARN_HITS`` bounds what the sample's longest texts send to the driver. Candidates for weights are the ``FEATURES`` words that tell the classes apart best there, by ``LEAST_APART`` standard errors or more.
 
 Nulls: a null text is empty. A text without words has no sentence and scores 0. A null id counts as the empty text for the fold.
-Repeated rows score alike. Without labels of both classes nothing is learned: every text scores 0. An empty table gives an
+Repeated rows score alike; of sentences that are equally bad the first is the worst. A text of any length is scored whole. Without labels of both classes nothing is learned: every text scores 0. An empty table gives an
 empty result; extra columns are ignored.
 """
 
@@ -23,12 +23,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillframe.llm import common as C
 from quillframe.llm import wordhash as W
 from quillframe.llm.token_counts import Table
 
 LEARN_ROWS, FEATURES, LEAST_ROWS = 6_000, 4_096, 5
+#: Candidates in sentences that the driver learns from at most: sampled rows with the largest hashes go if there are more.
+LEARN_HITS = 8_000_000
 #: Standard errors by which a word's share of toxic documents must differ from the whole sample's.
 LEAST_APART = 6.0
 FOLDS = 5
@@ -188,13 +191,19 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LEARN_ROWS, folds: int =
 
         return f
 
-    rows = C.arrow_map(part, features, "doc_id long, toxic boolean, n long, s binary, f binary").toPandas()
+    rows = C.written(C.arrow_map(part, features, "doc_id long, toxic boolean, n long, s binary, f binary"), f"{to}/features")
+    thin = rows.groupBy("doc_id").agg(F.sum(F.length("s") / 4).alias("hits"))  # of two samples of ids
+    upto = F.sum("hits").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.join(thin.withColumn("upto", upto).filter(F.col("upto") <= LEARN_HITS), "doc_id", "left_semi").toPandas()
+    if not 0 < rows["toxic"].sum() < len(rows):
+        return Model(np.empty(0, np.uint64), np.empty(0), -np.inf)
     rows = rows.sort_values(["doc_id", "toxic", "n", "s"]).reset_index(drop=True)
     s = [np.frombuffer(x, np.int32) for x in rows["s"]]
     f = np.concatenate([np.frombuffer(x, np.int32) for x in rows["f"]]).astype(np.int64)
     doc = np.repeat(np.arange(len(s)), [len(x) for x in s])
     _, sentence = np.unique(doc.astype(np.int64) << 32 | np.concatenate(s), return_inverse=True)
     y = rows["toxic"].to_numpy(bool)
+    yes, no = (all_of[x] / (y == x).sum() for x in (True, False))
     w, b = train(doc, sentence, f, rows["n"].to_numpy(), y, len(names), np.where(y, yes, no))
     return Model(names[w != 0], w[w != 0], b)
 

@@ -1,7 +1,8 @@
 """Words of many texts at once as 64-bit hashes, by numpy over the bytes: no Python object for a word.
 
-A word's hash is a polynomial over random byte values modulo 2**64, taken from one running sum over all bytes
-and then mixed with the word's length. Equal words have equal hashes in every process.
+A span's hash is a chain over its 8-byte pieces, h = mix(h ^ piece), that starts from its length; the last piece is padded by zeros. Every
+step is a bijection that spreads every bit, so texts of one structure don't collide whatever their letters. Spans above ``CHAIN``
+bytes, which are rare, are hashed by XXH64 one by one. Equal spans have equal hashes in every process.
 """
 
 from __future__ import annotations
@@ -9,33 +10,28 @@ from __future__ import annotations
 from typing import NamedTuple
 
 import numpy as np
+import xxhash
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_TABLE = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_BACK = pow(_BASE, -1, 2**64)
-_POWERS: list[np.ndarray] = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
 #: Bytes that are worked on at once; a longer text is taken whole.
 CHUNK = 1 << 21
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_BASE, _BACK)):
-            x = np.full(max(n, CHUNK), base, np.uint64)
-            x[0] = 1
-            _POWERS[k] = np.multiply.accumulate(x)
-    return _POWERS
+#: Bytes of the longest span that is hashed by pieces.
+CHAIN = 256
+_SEED = np.uint64(0x9E3779B97F4A7C15)
+_BITS = [np.uint64(k) for k in (27, 30, 31)]
+_FIRST, _SECOND = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Of a piece with k bytes left in its span, those that count.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    h = (h ^ (h >> _BITS[1])) * _FIRST
+    h = (h ^ (h >> _BITS[0])) * _SECOND
+    return h ^ (h >> _BITS[2])
 
 
 def join2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -43,25 +39,30 @@ def join2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * np.uint64(0xD6E8FEB86659FD93) + mix(b) + np.uint64(1))
 
 
-def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    up, down = _powers(len(data) + 1)
-    total = np.empty(len(data) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_TABLE[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] ^ ((ends - starts).astype(np.uint64) << np.uint64(40)))
+def _pieces(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on, as one number; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the spans, whose starts and ends ascend. A span's hash doesn't depend on where it lies, so a long text is worked on piece by piece."""
-    if len(data) <= 2 * CHUNK:
-        return _hashes(data, starts, ends)
-    out, i = np.empty(len(starts), np.uint64), 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK, "right")))
-        low = starts[i]
-        out[i:j] = _hashes(data[low : ends[j - 1]], starts[i:j] - low, ends[i:j] - low)
-        i = j
-    return out
+    """Hashes of the spans. A span's hash doesn't depend on where it lies."""
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    at, size = _pieces(data), ends - starts
+    h = size.astype(np.uint64) * _SEED + _SEED
+    # nearly all words have one piece or two
+    h = mix(h ^ (at[starts] & _MASK[np.minimum(size, 8)]))
+    left = np.flatnonzero((size > 8) & (size <= CHAIN))
+    done = 8
+    while len(left):
+        h[left] = mix(h[left] ^ (at[starts[left] + done] & _MASK[np.minimum(size[left] - done, 8)]))
+        done += 8
+        left = left[size[left] > done]
+    for k in np.flatnonzero(size > CHAIN).tolist():
+        h[k] = xxhash.xxh64_intdigest(data[starts[k] : ends[k]], 7)
+    return h
 
 
 class Words(NamedTuple):

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 from quillframe.llm import license_scan as L
 from quillframe.llm.license_texts import NOTICES, TEXTS
 
@@ -25,3 +27,32 @@ def test_variants_of_known_texts(spark):
 def test_both_canonical_forms_agree(odd, odd_rows, none):
     got = sorted(r.text_digest for r in L.scanned(odd).collect())
     assert got == sorted(L.digest_of(r[1] or "") for r in odd_rows) and L.scanned(none).count() == 0
+
+
+def test_whole_licences_inside_documents(spark):
+    texts = {n: t for n, t in TEXTS}
+    full = "\n".join(f"Clause {k}. Any licence words." + ("\n" if k % 3 == 0 else "") for k in range(40))
+    own = [L.entry("Own-1.0", full)]
+    head = "# My project\n\nSome words on a license.\n\n"
+    rows = [
+        (1, head + texts["MIT"] + "\n\nThe end."),
+        (2, head + full.upper().replace("LICENCE", "LICENSE") + "\n\n" + texts["Unlicense"]),
+        (3, head + full + " more"),  # the last word goes on, after a space: still the whole licence
+        (4, head + full[:-1] + "more"),
+        (5, head + full[:-10]),
+        (6, full),
+        (7, head.replace("\n", "\r\n") + texts["MIT"].replace("\n", "\r\n")),
+    ]
+    got = {r.doc_id: r for r in L.scanned(spark.createDataFrame(rows, "doc_id long, text string"), digests=own).collect()}
+    assert [got[k].embedded for k in range(1, 8)] == ["MIT", "Own-1.0,Unlicense", "Own-1.0", "", "", "Own-1.0", "MIT"]
+    assert [got[k].license for k in (1, 6)] == [None, "Own-1.0"]
+
+
+def test_digests_of_long_licences():
+    """Held against the files, where this machine has them."""
+    names = {n for n, *_ in L.DIGESTS}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= names
+    top = Path("/usr/share/common-licenses")
+    if top.is_dir():
+        by = {x[3] for x in L.DIGESTS}
+        assert all(L.entry("x", (top / f).read_text())[3] in by for f in ("Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "MPL-2.0", "CC0-1.0"))

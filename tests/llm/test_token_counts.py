@@ -5,6 +5,7 @@ import pytest
 import sentencepiece
 
 from quillframe.llm import token_counts as X
+from tests.llm.test_wordhash import mirrored
 
 
 @pytest.fixture(scope="module")
@@ -56,3 +57,12 @@ def test_unfit_vocabulary_is_refused(monkeypatch):
     monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Fake)
     with pytest.raises(ValueError):
         X.library("other")
+
+
+def test_mirrored_pretokens_and_texts_without_spaces(spark, library):
+    """Words that a weak hash merges count apart; long pre-tokens are neither shuffled nor collected."""
+    texts = [x for n in (1024, 4096) for x in mirrored(n)] + ["".join(chr(0x4E00 + (i * 7919 + k * k) % 4000) for k in range(20_000)) for i in range(8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in X.counted(docs).collect()}
+    assert got == {i: len(library.encode(t)) for i, t in enumerate(texts)}
+    assert X.frequent(docs.union(docs), X.public())[0].size == 0

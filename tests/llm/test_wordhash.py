@@ -27,3 +27,23 @@ def test_a_long_text_is_hashed_as_a_short_one(monkeypatch):
     whole, stats = W.words(data, at).hashes, Q.counts(data, at)
     monkeypatch.setattr(W, "CHUNK", 64)
     assert (W.words(data, at).hashes == whole).all() and (Q.counts(data, at) == stats).all()
+
+
+def mirrored(n, a="a", b="b"):
+    """Two words that collide under any polynomial hash modulo a power of two."""
+    word = "".join(b if k.bit_count() & 1 else a for k in range(n))
+    return word, word.translate(str.maketrans(a + b, b + a))
+
+
+def test_mirrored_words_differ():
+    for n in (8, 64, 256, 257, 1024, 2048, 4096):
+        one, other = mirrored(n)
+        w = W.words(*flat([one, other, f"{one} {other}"]))
+        assert w.hashes[0] != w.hashes[1] and w.hashes[2:].tolist() == w.hashes[:2].tolist()
+        stats = Q.counts(*flat([f"{one}\n{other}\n{one}"]))[0]
+        assert stats[Q.COUNTS.index("n_dup_lines")] == 1 and stats[Q.COUNTS.index("n_distinct_words")] == 2
+
+
+def test_bytes_past_the_end_of_a_word_have_no_say():
+    w = W.words(*flat(["abc", "abc d", "abc\x00", "abc\x00\x00", "abcdefgh", "abcdefgh\x00"]))
+    assert w.hashes[0] == w.hashes[1] and len(set(w.hashes.tolist())) == 6
