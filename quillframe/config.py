@@ -4,7 +4,22 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-TIME_FORMATS = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ss Z 'UTC'", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd", "M/d/yyyy", "M/d/yy", "h:mma", "HH:mm:ss")
+#: Tried in this order, in letters of Spark's datetime patterns.
+TIME_FORMATS = (
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][.SSSSSSSS][.SSSSSSS][.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]XXX",
+    "yyyy-MM-dd HH:mm:ss Z z",
+    "yyyy-MM-dd HH:mm:ss",
+    "yyyy-MM-dd'T'HH:mm:ss",
+    "yyyy-MM-dd HH:mm",
+    "yyyy-MM-dd",
+    "MM-dd-yyyy",
+    "yyyy/MM/dd",
+    "M/d/yyyy",
+    "M/d/yy",
+    "h:mma",
+    "HH:mm:ss",
+    "dd MMM yy HH:mm z",
+)
 
 
 @dataclass
@@ -19,6 +34,8 @@ class Options:
     max_cell_width: int = 30
     merge_repeats: bool = True
     wrap_lines: bool = False
+    #: Whether values that a cast turns to null are warned of: that counts them, one job a cast.
+    warnings: bool = False
 
     def add_null_string(self, text: str) -> None:
         self.null_strings.add(text)

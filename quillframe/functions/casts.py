@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +42,12 @@ def to_float(c: Column, kind: T.DataType) -> Column:
     return F.lit(None).cast("double")
 
 
+def _parsed(c: Column, pattern: str) -> Column:
+    """Null where the text doesn't have the pattern; a year of two digits is one of 1969 to 2068."""
+    t = F.try_to_timestamp(c, F.lit(pattern)).cast("timestamp_ntz")
+    return F.when(F.year(t) > 2068, t - F.make_ym_interval(F.lit(100))).otherwise(t) if re.search("(?<!y)yy(?!y)", pattern) else t
+
+
 def to_time(c: Column, kind: T.DataType, options: Options = DEFAULT) -> Column:
     """Timestamps stay as they are; a text takes the first format it has, a clock time alone falls on 1970-01-01."""
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
@@ -47,7 +55,7 @@ def to_time(c: Column, kind: T.DataType, options: Options = DEFAULT) -> Column:
     if isinstance(kind, T.DateType):
         return c.cast("timestamp_ntz")
     if isinstance(kind, T.StringType):
-        return F.coalesce(*(F.try_to_timestamp(c, F.lit(f)).cast("timestamp_ntz") for f in options.time_formats))
+        return F.coalesce(*(_parsed(c, f) for f in options.time_formats))
     return F.lit(None).cast("timestamp_ntz")
 
 
@@ -78,17 +86,34 @@ def normalised(c: Column, kind: T.DataType, options: Options = DEFAULT) -> Colum
     return c
 
 
+#: Texts by Python's patterns, and what they are; the fraction and the zone's name are cut off before.
+_PATTERNS = (
+    ("%Y-%m-%d", DATE),
+    ("%m-%d-%Y", DATE),
+    ("%Y/%m/%d", DATE),
+    ("%m/%d/%Y", DATE),
+    ("%m/%d/%y", DATE),
+    ("%I:%M%p", TIME),
+    ("%H:%M:%S", TIME),
+    ("%Y-%m-%d %H:%M:%S %z", DATETIME),
+    ("%Y-%m-%d %H:%M:%S", DATETIME),
+    ("%Y-%m-%dT%H:%M:%S%z", DATETIME),
+    ("%Y-%m-%dT%H:%M:%S", DATETIME),
+    ("%d %b %y %H:%M", DATETIME),
+)
+
+
 def infer(values: list[str]) -> str:
     """Majority of the types of up to ten texts; on a tie the first of float, date, time, datetime, string."""
-    import re
     from datetime import datetime
 
     def one(x: str) -> str:
         if re.match(_NUMBER, x):
             return FLOAT
-        for pattern, kind in (("%Y-%m-%d", DATE), ("%Y/%m/%d", DATE), ("%m/%d/%Y", DATE), ("%I:%M%p", TIME), ("%H:%M:%S", TIME), ("%Y-%m-%d %H:%M:%S %z UTC", DATETIME), ("%Y-%m-%d %H:%M:%S", DATETIME), ("%Y-%m-%dT%H:%M:%S%z", DATETIME), ("%Y-%m-%dT%H:%M:%S", DATETIME)):
+        plain = re.sub(r"(?<=:\d\d)\.\d{1,9}(?=Z|[+-]\d\d:)|(?<=\d) [A-Z]{3,4}$", "", x)
+        for pattern, kind in _PATTERNS:
             try:
-                datetime.strptime(x.upper() if kind == TIME else x, pattern)
+                datetime.strptime(plain.upper() if kind == TIME else plain, pattern)
                 return kind
             except ValueError:
                 continue

@@ -2,7 +2,8 @@
 
 Rows are dealt by ranges of the order into blocks, sorted within each, and kept: block k holds what comes before block k + 1. What a
 block needs to know of those before it (how many rows, a running sum, the last value that isn't null) is one small row for each
-block; everything else happens inside blocks, in parallel. The kept rows make sure that every use sees the same blocks.
+block; everything else happens inside blocks, in parallel. The kept rows make sure that every use sees the same blocks. Frames deal only
+the columns that they have, once for all operators of one frame; ``release`` lets go of what is kept.
 """
 
 from __future__ import annotations
@@ -19,6 +20,15 @@ from pyspark.sql.window import Window, WindowSpec
 BLOCK, ROW, POS = "__block", "__row", "__pos"
 #: Rows of a block of positions, for windows over positions.
 SPAN = 1 << 20
+#: Rows of a table that is broadcast at most.
+FEW = 1 << 18
+_kept: list[DataFrame] = []
+
+
+def release() -> None:
+    """Drops kept rows. Frames that came of positions must not be used any more."""
+    while _kept:
+        _kept.pop().unpersist()
 
 
 def directed(order: Sequence[tuple[str, bool]]) -> list[Column]:
@@ -30,7 +40,30 @@ def directed(order: Sequence[tuple[str, bool]]) -> list[Column]:
 class Blocks:
     df: DataFrame  # with BLOCK, ROW (from 0 in its block) and POS
     size: int
-    blocks: int
+    counts: tuple[int, ...]  # rows of each block
+
+    @property
+    def blocks(self) -> int:
+        return len(self.counts)
+
+
+def _ids(df: DataFrame, row: Column) -> DataFrame:
+    """BLOCK and ROW from ids of (partition, row of it)."""
+    return df.withColumns({BLOCK: F.shiftright(row, 33).cast("int"), ROW: row.bitwiseAND((1 << 33) - 1)})
+
+
+def _at(values: Sequence, kind: str) -> Column:
+    """The value of a row's block."""
+    return F.get(F.array(*(F.lit(x).cast(kind) for x in values)), F.col(BLOCK))
+
+
+def _counted(part: DataFrame, least: int = 0) -> Blocks:
+    held = {r[0]: r[1] for r in part.groupBy(BLOCK).count().collect()}  # one row for each block
+    counts = tuple(held.get(k, 0) for k in range(max([least, *(k + 1 for k in held)])))
+    starts = [0]
+    for n in counts:
+        starts.append(starts[-1] + n)
+    return Blocks(part.withColumn(POS, _at(starts[:-1] or [0], "long") + F.col(ROW)), starts[-1], counts)
 
 
 def blocks_of(df: DataFrame, order: Sequence[tuple[str, bool]]) -> Blocks:
@@ -39,20 +72,38 @@ def blocks_of(df: DataFrame, order: Sequence[tuple[str, bool]]) -> Blocks:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = directed(order)
     part = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn(ROW, F.monotonically_increasing_id())
-    part = part.withColumns({BLOCK: F.shiftright(ROW, 33).cast("int"), ROW: F.col(ROW).bitwiseAND((1 << 33) - 1)})
+    part = _ids(part, F.col(ROW))
     # a cluster that names a shared folder keeps the rows there, where no lost executor takes them; else the executors keep them on
     # disk, and what is lost is made again with the same ranges
-    part = part.checkpoint() if spark.sparkContext.getConf().get("spark.checkpoint.dir") else part.persist(StorageLevel.DISK_ONLY)
-    counts = {r[0]: r[1] for r in part.groupBy(BLOCK).count().collect()}  # one row for each block
-    starts, at = [], 0
-    for k in range(n):
-        starts.append(at)
-        at += counts.get(k, 0)
-    table = F.array(*(F.lit(x).cast("long") for x in starts))
-    return Blocks(part.withColumn(POS, F.get(table, F.col(BLOCK)) + F.col(ROW)), at, n)
+    if spark.sparkContext.getConf().get("spark.checkpoint.dir"):
+        part = part.checkpoint()
+    else:
+        _kept.append(part := part.persist(StorageLevel.DISK_ONLY))
+    return _counted(part, n)
+
+
+_STABLE = {"Project", "Filter", "LogicalRelation", "Relation", "SubqueryAlias", "View", "LogicalRDD", "LocalRelation"}
 
 
-def _inside() -> Window:
+def read_order(df: DataFrame, row: str) -> Blocks:
+    """Positions in the order of reading, for ``df`` with its row ids (``monotonically_increasing_id``) in ``row``: nothing is sorted or moved.
+
+    What reads other rows, or in another order, on a second run (anything but a scan with projections) is kept first.
+    """
+
+    def scanned(plan) -> bool:
+        name = plan.nodeName().split(" ")[0].split("(")[0]
+        return name in _STABLE and all(scanned(plan.children().apply(k)) for k in range(plan.children().size()))
+
+    if not scanned(df._jdf.queryExecution().optimizedPlan()):
+        if df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir"):
+            df = df.checkpoint()
+        else:
+            _kept.append(df := df.persist(StorageLevel.DISK_ONLY))
+    return _counted(_ids(df, F.col(row)))
+
+
+def _inside() -> WindowSpec:
     return Window.partitionBy(BLOCK).orderBy(ROW)
 
 
@@ -65,62 +116,83 @@ def running_sum(b: Blocks, value: Column, name: str) -> DataFrame:
     for k in range(b.blocks):
         before.append(total)
         total += sums.get(k) or 0.0
-    table = F.array(*(F.lit(x) for x in before))
-    return df.withColumn(name, F.get(table, F.col(BLOCK)) + F.sum(v).over(_inside().rowsBetween(Window.unboundedPreceding, 0))).drop(v)
+    return df.withColumn(name, _at(before or [0.0], "double") + F.sum(v).over(_inside().rowsBetween(Window.unboundedPreceding, 0))).drop(v)
 
 
 def carried(b: Blocks, columns: dict[str, str], forward: bool) -> DataFrame:
     """For each (source: name), the last value at or before each row that isn't null (at or after, if not ``forward``); null if none."""
     if not columns:
         return b.df
-    edge = (F.max_by if forward else F.min_by)
+    edge = F.max_by if forward else F.min_by
     got = b.df.groupBy(BLOCK).agg(*(edge(c, F.when(F.col(c).isNotNull(), F.col(ROW))).alias(c) for c in columns))
     rows = {r[BLOCK]: r for r in got.collect()}  # one row for each block
     held: dict = dict.fromkeys(columns)
-    table = []
+    table: dict[str, list] = {c: [None] * max(1, b.blocks) for c in columns}
     for k in range(b.blocks) if forward else range(b.blocks - 1, -1, -1):
-        table.append((k, *(held[c] for c in columns)))
-        if k in rows:
-            held = {c: rows[k][c] if rows[k][c] is not None else held[c] for c in columns}
-    schema = ", ".join([f"{BLOCK} int", *(f"`__c_{c}` {b.df.schema[c].dataType.simpleString()}" for c in columns)])
-    carry = F.broadcast(b.df.sparkSession.createDataFrame(table, schema))  # one row for each block
+        for c in columns:
+            table[c][k] = held[c]
+            if k in rows and rows[k][c] is not None:
+                held[c] = rows[k][c]
     w = _inside()
     w = w.rowsBetween(Window.unboundedPreceding, 0) if forward else w.rowsBetween(0, Window.unboundedFollowing)
     pick = F.last if forward else F.first
-    out = b.df.withColumns({name: pick(c, ignorenulls=True).over(w) for c, name in columns.items()}).join(carry, BLOCK)
-    return out.withColumns({name: F.coalesce(name, F.col(f"__c_{c}")) for c, name in columns.items()}).drop(*(f"__c_{c}" for c in columns))
+    kind = {c: b.df.schema[c].dataType.simpleString() for c in columns}
+    return b.df.withColumns({name: F.coalesce(pick(c, ignorenulls=True).over(w), _at(table[c], kind[c])) for c, name in columns.items()})
 
 
 def forward_rows(b: Blocks, n: int, aggregates: dict[str, Callable[[WindowSpec], Column]]) -> DataFrame:
     """``aggregates``, functions of a window, over each row and the n - 1 after it. Rows whose window is not complete have that of the last complete one.
 
-    Blocks of positions overlap by n - 1 rows, so a window never leaves its block.
+    Blocks of positions overlap by n - 1 rows, so a window never leaves its block; the last rows stay with the last complete window.
     """
     if n > b.size:
         return b.df.withColumns({k: F.lit(None).cast("double") for k in aggregates})
-    span, block, home = max(SPAN, 4 * n), "__span", "__home"
-    own = F.floor(F.col(POS) / span)
-    copies = F.when((F.col(POS) % span < n - 1) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
-    spread = b.df.withColumn(block, F.explode(copies)).withColumn(home, F.col(block) == own)
-    w = Window.partitionBy(block).orderBy(POS).rowsBetween(0, n - 1)
-    got = spread.withColumns({k: a(w) for k, a in aggregates.items()}).filter(F.col(home) & (F.col(POS) <= b.size - n)).select(F.col(POS).alias("__at"), *aggregates)
-    return b.df.withColumn("__at", F.least(F.col(POS), F.lit(b.size - n))).join(got, "__at").drop("__at")
+    span, block = max(SPAN, 4 * n), "__span"
+    own = F.floor(F.least(F.col(POS), F.lit(b.size - n)) / span)
+    here = F.floor(F.col(POS) / span)
+    copies = F.when((F.col(POS) % span < n - 1) & (here > 0), F.array(here, here - 1)).otherwise(F.array(here))
+    spread = b.df.withColumn(block, F.explode(copies))
+    w = Window.partitionBy(block).orderBy(POS)
+    full = F.col(POS) <= b.size - n
+    last = lambda k: F.last(F.when(full, F.struct(k)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))[k]
+    got = spread.withColumns({k: a(w.rowsBetween(0, n - 1)) for k, a in aggregates.items()}).withColumns({k: last(k) for k in aggregates})
+    return got.filter(F.col(block) == own).drop(block)
 
 
 def shifted(b: Blocks, n: int, columns: dict[str, str]) -> DataFrame:
-    """For each (source: name), the value n rows before, null where there's none: an equi-join on positions."""
-    src = b.df.select((F.col(POS) + n).alias("__at"), *(F.col(c).alias(name) for c, name in columns.items()))
-    return b.df.join(src, b.df[POS] == src["__at"], "left").drop("__at")
+    """For each (source: name), the value n rows before (after, if negative), null where there's none.
+
+    Inside a block that is ``lag``; the |n| rows at its edge are handed over by position.
+    """
+    far = lambda c: (F.lag(c, n) if n >= 0 else F.lead(c, -n)).over(_inside())
+    inner = b.df.withColumns({name: far(c) for c, name in columns.items()})
+    if not n or b.blocks < 2:
+        return inner
+    size = _at(b.counts, "long")
+    leaves, lacks = (F.col(ROW) >= size - n, F.col(ROW) < n) if n > 0 else (F.col(ROW) < -n, F.col(ROW) >= size + n)
+    names = {name: f"__h{k}" for k, name in enumerate(columns.values())}
+    over = b.df.filter(leaves).select((F.col(POS) + n).alias("__at"), *(F.col(c).alias(names[name]) for c, name in columns.items()))
+    if abs(n) * b.blocks <= FEW:
+        df = inner.join(F.broadcast(over), F.when(lacks, F.col(POS)) == F.col("__at"), "left")  # |n| rows of each block
+    else:
+        edge = b.df.filter(lacks).withColumns({name: F.lit(None).cast(inner.schema[name].dataType) for name in names})
+        return inner.filter(~lacks).unionByName(edge.join(over, F.col(POS) == F.col("__at"), "left").withColumns({x: F.col(h) for x, h in names.items()}).select(*inner.columns))
+    return df.withColumns({x: F.when(lacks, F.col(h)).otherwise(F.col(x)) for x, h in names.items()}).drop("__at", *names.values())
 
 
 def dense_ranks(df: DataFrame, value: str, rank: str, below: str) -> tuple[DataFrame, int]:
-    """Distinct values that aren't null with their dense rank and how many rows are strictly below, and how many rows have a value."""
+    """``df`` with the dense rank of each value, how many rows are strictly below it, and how many rows have a value. Nulls take no part and have nulls.
+
+    Ranks are worked out over the distinct values and joined back: by a broadcast where these are few.
+    """
     per = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n"))
     b = blocks_of(per, [(value, True)])
-    out = running_sum(b, F.col("__n").cast("double"), below)
-    out = out.select(value, (F.col(POS) + 1).cast("double").alias(rank), (F.col(below) - F.col("__n")).alias(below), F.col("__n"))
-    total = per.agg(F.sum("__n")).first()[0] or 0
-    return out.drop("__n"), int(total)
+    got = running_sum(b, F.col("__n").cast("double"), below)
+    got = got.select(F.col(value).alias("__v"), (F.col(POS) + 1).cast("double").alias(rank), (F.col(below) - F.col("__n")).alias(below))
+    total = b.df.agg(F.sum("__n")).first()[0] or 0
+    some, none = df.filter(F.col(value).isNotNull()), df.filter(F.col(value).isNull())
+    out = some.join(F.broadcast(got) if b.size <= FEW else got, F.col(value) == F.col("__v")).drop("__v")
+    return out.unionByName(none.withColumns({c: F.lit(None).cast("double") for c in (rank, below)})), int(total)
 
 
 def all_of(tests: Sequence[Column]) -> Column:

@@ -8,6 +8,7 @@ is a list of key columns; operators that don't observe it leave it out of their
 from __future__ import annotations
 
 import itertools
+import warnings
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import timedelta
@@ -17,7 +18,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from quillframe.config import DEFAULT, Options
 from quillframe.functions import casts
@@ -58,6 +58,11 @@ class NullFiller:
     value: float = 0.0
 
 
+def _bare(fields: Sequence[Field]) -> list[Field]:
+    """Without the source's columns, which blocks don't hold."""
+    return [Field(f.name, f.id) for f in fields]
+
+
 def opaque(f: Callable[[pd.Series], pd.Series], kind: str | None = None) -> Callable[[pd.Series], pd.Series]:
     """Marks a function of pandas Series (not of Columns); ``kind`` is the Spark type it returns, by default its input's."""
     f._opaque, f._kind = True, kind
@@ -96,6 +101,7 @@ class Frame:
     def __init__(self, sdf: DataFrame, labels: Sequence[Field], cols: Sequence[Field], order: Sequence[tuple[str, bool]], name: str = "", level_names: Sequence[str] = (), options: Options = DEFAULT):
         self._sdf, self.labels, self.cols, self.order = sdf, tuple(labels), tuple(cols), tuple(order)
         self.name, self.level_names, self.options = name, tuple(level_names), options
+        self._blocks: B.Blocks | None = None
 
     # ---- making ----
 
@@ -103,7 +109,8 @@ class Frame:
     def from_spark(cls, sdf: DataFrame, labels: Sequence[str] = (), order_by: Sequence[str] = (), name: str = "", options: Options = DEFAULT) -> Frame:
         """``order_by``: columns of a total order. Without them the order is that in which Spark reads the rows.
 
-        Without ``labels`` there is one level, the row's ordinal, which is worked out only where it is used.
+        Without ``labels`` there is one level, the row's ordinal: by one count of the rows of each partition where rows come in the order of
+        reading, else by a sort.
         """
         names = [c for c in sdf.columns if c not in labels]
         for x in (*labels, *order_by):
@@ -121,21 +128,33 @@ class Frame:
             o = new_id()
             picked, order = picked.withColumn(o, F.monotonically_increasing_id()), [(o, True)]
         out = cls(picked, [fields[c] for c in labels], [fields[c] for c in names], order, name, options=options)
-        return out if labels else out._default_label()
+        return out if labels else out._ordinals(B.read_order(picked, o)) if not order_by else out._default_label()
 
     def _default_label(self) -> Frame:
-        """An ordinal as the only label: the order column itself where it is the only one and a number, else by position."""
+        """The row's position as the only label."""
+        return self._ordinals(self._positions())
+
+    def _ordinals(self, b: B.Blocks) -> Frame:
         f = Field("*0", new_id())
-        b = B.blocks_of(self._sdf, self.order)
-        sdf = b.df.withColumn(f.id, F.col(B.POS)).drop(B.POS, B.ROW, B.BLOCK)
-        return self._new(sdf, labels=[f], order=[(f.id, True)])
+        have = set(b.df.columns)
+        cols = [x if x.raw in have else Field(x.name, x.id) for x in self.cols]
+        return self._new(b.df.withColumnRenamed(B.POS, f.id).drop(B.ROW, B.BLOCK), labels=[f], cols=cols, order=[(f.id, True)])
 
     def _new(self, sdf: DataFrame | None = None, labels=None, cols=None, order=None, name=None, level_names=None, kind: type | None = None) -> Any:
         pick = lambda a, b: b if a is None else a
         return (kind or type(self))(pick(sdf, self._sdf), pick(labels, self.labels), pick(cols, self.cols), pick(order, self.order), pick(name, self.name), pick(level_names, self.level_names), self.options)
 
+    @classmethod
+    def read(cls, spark: SparkSession, reader: Any) -> Frame:
+        """What a reader, anything with ``read(spark)``, gives."""
+        return reader.read(spark)
+
     # ---- leaving ----
 
+    def write(self, writer: Any) -> Any:
+        """Hands the frame to a writer, anything with ``write(frame)``."""
+        return writer.write(self)
+
     @property
     def spark(self) -> SparkSession:
         return self._sdf.sparkSession
@@ -217,6 +236,10 @@ class Frame:
         """Names that never repeat and go wherever a name goes."""
         return [f.id for f in (self.fields if labels else self.cols)]
 
+    def unpack_ids(self, *names: str) -> list[str]:
+        """Ids of the columns (or labels) named, in that order; without names those of all columns."""
+        return [self.field(n).id for n in names] or self.ids(False)
+
     @property
     def num_columns(self) -> int:
         return len(self.cols)
@@ -266,16 +289,25 @@ class Frame:
         return [[r[k] for r in got] for k in range(len(self.labels))]
 
     def _positions(self) -> B.Blocks:
-        return B.blocks_of(self._sdf, self.order)
+        """Labels, columns and order keys in blocks, dealt once."""
+        if self._blocks is None:
+            self._blocks = B.blocks_of(self._sdf.select(*dict.fromkeys([*(f.id for f in self.fields), *(c for c, _ in self.order)])), self.order)
+        return self._blocks
 
     def _placed(self, b: B.Blocks, sdf: DataFrame | None = None, **more):
         """A frame over ``sdf`` (the blocks' rows by default) that is ordered by position."""
         o = new_id()
         sdf = (b.df if sdf is None else sdf).withColumnRenamed(B.POS, o).drop(B.ROW, B.BLOCK)
-        return self._new(sdf, order=[(o, True)], **more)
+        return self._new(sdf, labels=_bare(self.labels), cols=_bare(self.cols), order=[(o, True)], **more)
 
     def cast(self, kinds: Mapping[str, str]):
+        """New types by name. What can't be cast is null; with the option ``warnings``, one job counts these and warns."""
         made = {self.field(n).id: casts.cast(F.col(self.field(n).id), self.kind(n), k, self.options) for n, k in kinds.items()}
+        if self.options.warnings and made:
+            lost = self._sdf.agg(*(F.count_if(F.col(i).isNotNull() & c.isNull()).alias(i) for i, c in made.items())).first()
+            for n, i in zip(kinds, made, strict=True):
+                if lost[i]:
+                    warnings.warn(f"{lost[i]} values of {n!r} are no {kinds[n]} and become null", stacklevel=2)
         return self._values(made)
 
     def _values(self, made: Mapping[str, Column]):
@@ -364,8 +396,7 @@ class Frame:
             raise ValueError(f"{len(values)} values for {b.size} rows")
         made = self.spark.createDataFrame([(i, v) for i, v in enumerate(values)], ["__at", f.id])
         sdf = b.df.join(made, b.df[B.POS] == made["__at"]).drop("__at")
-        placed = self._placed(b, sdf)
-        return placed._new(**{("labels" if labels else "cols"): fields})
+        return self._placed(b, sdf)._new(**{("labels" if labels else "cols"): _bare(fields)})
 
     def with_col(self, name: str, value: Any):
         """``value``: a text renames; a Column, a function of the columns by name, or one value for each row sets or appends."""
@@ -412,7 +443,8 @@ class Frame:
             raise IndexError(f"positions must be in 0..{b.size - 1}")
         o = new_id()
         want = self.spark.createDataFrame([(int(i), k) for k, i in enumerate(index)], f"__at long, {o} long")
-        return self._new(b.df.join(F.broadcast(want), b.df[B.POS] == want["__at"]).drop("__at", B.POS, B.ROW, B.BLOCK), order=[(o, True)])  # as long as the caller's list
+        sdf = b.df.join(F.broadcast(want), b.df[B.POS] == want["__at"]).drop("__at", B.POS, B.ROW, B.BLOCK)  # as long as the caller's list
+        return self._new(sdf, labels=_bare(self.labels), cols=_bare(self.cols), order=[(o, True)])
 
     def head(self, n: int = 5):
         return self._new(self._sdf.orderBy(*B.directed(self.order)).limit(max(0, n)))
@@ -467,8 +499,10 @@ class Frame:
         return self._new(self._sdf.filter(B.all_of(self._passes(filters)))) if filters else self
 
     def filter_index(self, name: str, test: Predicate) -> list[int]:
-        b = self._positions()
-        return [r[0] for r in b.df.filter(B.all_of(self._passes({name: test}))).select(B.POS).orderBy(B.POS).collect()]
+        """Positions of the rows that pass, on the driver: as many as pass."""
+        placed = self._placed(self._positions())
+        at = placed.order[0][0]
+        return [r[0] for r in placed._sdf.filter(B.all_of(placed._passes({name: test}))).select(at).orderBy(at).collect()]
 
     def _equals(self, name: str, value: Any) -> Column:
         f = self._named(name)
@@ -553,15 +587,19 @@ class Frame:
         ids = [new_id() for _ in self.fields]
         kinds = list(zip((self.kind(f) for f in self.fields), (other.kind(f) for f in other.fields), strict=True))
 
+        o, keys = new_id(), [[new_id() for _ in x.order] for x in (self, other)]
+
         def side(frame: Frame, k: int) -> DataFrame:
-            b = frame._positions()
+            """Columns, the side, and the order keys of both sides, those of the other null: no row needs its position."""
             cols = [(casts.to_text(F.col(f.id), kinds[i][k]) if kinds[i][0] != kinds[i][1] else F.col(f.id)).alias(ids[i]) for i, f in enumerate(frame.fields)]
-            return b.df.select(*cols, F.lit(k).alias("__side"), F.col(B.POS).alias("__at"))
+            own = [F.col(c).alias(x) for (c, _), x in zip(frame.order, keys[k], strict=True)]
+            rest = [F.lit(None).cast((other, self)[k]._sdf.schema[c].dataType).alias(x) for (c, _), x in zip((other, self)[k].order, keys[1 - k], strict=True)]
+            return frame._sdf.select(*cols, F.lit(k).alias(o), *own, *rest)
 
-        a, b = new_id(), new_id()
-        sdf = side(self, 0).unionByName(side(other, 1)).withColumnsRenamed({"__side": a, "__at": b})
+        sdf = side(self, 0).unionByName(side(other, 1))
         fields = [Field(f.name, i) for f, i in zip(self.fields, ids, strict=True)]
-        return self._new(sdf, labels=fields[: len(self.labels)], cols=fields[len(self.labels) :], order=[(a, True), (b, True)])
+        order = [(o, True), *((x, up) for frame, own in ((self, keys[0]), (other, keys[1])) for (_, up), x in zip(frame.order, own, strict=True))]
+        return self._new(sdf, labels=fields[: len(self.labels)], cols=fields[len(self.labels) :], order=order)
 
     # ---- functions of a caller ----
 
@@ -888,9 +926,8 @@ class Series(Frame):
 
     def _ranked(self) -> tuple[DataFrame, str, str, int]:
         v, rank, below = new_id(), new_id(), new_id()
-        sdf = self._sdf.withColumn(v, self._number())
-        ranks, n = B.dense_ranks(sdf, v, rank, below)
-        return sdf.join(ranks, v, "left"), rank, below, n
+        sdf, n = B.dense_ranks(self._sdf.withColumn(v, self._number()), v, rank, below)
+        return sdf, rank, below, n
 
     def rank(self) -> Series:
         """Dense, ascending, from 1; null for null."""
@@ -966,9 +1003,15 @@ def concat_series(*series: Series) -> Frame:
     return out
 
 
-def make_multi_level_labels(labels: Sequence[Sequence]) -> list[list]:
-    """The product of the lists, the first varying slowest, one list for each level."""
-    return [list(x) for x in zip(*itertools.product(*labels), strict=True)]
+def label_product(*levels: Frame) -> Frame:
+    """Every combination of the levels' rows, the first varying slowest, as labels beside the last column: for levels that are tables."""
+    out, order, labels = levels[0]._sdf, list(levels[0].order), list(_bare(levels[0].cols))
+    for x in levels[1:]:
+        out = out.crossJoin(x._sdf)  # the product is what is asked for
+        order, labels = [*order, *x.order], [*labels, *_bare(x.cols)]
+    return Frame(out, labels[:-1] or labels, labels[-1:], order, options=levels[0].options)
 
 
-_ = Window
+def make_multi_level_labels(labels: Sequence[Sequence]) -> list[list]:
+    """The product of local lists, the first varying slowest, one list for each level; ``label_product`` is that of frames."""
+    return [list(x) for x in zip(*itertools.product(*labels), strict=True)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator, Sequence
 from datetime import timedelta
 from typing import Any
@@ -204,16 +205,24 @@ class Grouped:
     def _text(self) -> Column:
         return F.concat_ws(self.frame.options.separator, *(F.coalesce(casts.to_text(F.col(f.id), self.frame.kind(f)), F.lit("(null)")) for f in self.keys))
 
-    def get_group(self, key: str) -> Frame:
-        """Rows of one key, its parts joined by the separator."""
-        return self.frame._new(self._kept().filter(self._text() == key), labels=self.keys, cols=self._cols(()))
+    def get_group(self, key: Any) -> Frame:
+        """Rows of one key: a tuple of its parts, typed, or their texts joined by the separator. A text that two keys share is an error."""
+        if isinstance(key, tuple):
+            if len(key) != len(self.keys):
+                raise ValueError(f"{len(key)} parts for {len(self.keys)} keys")
+            test = B.all_of([F.col(f.id).eqNullSafe(F.lit(x).cast(self.frame.kind(f))) for f, x in zip(self.keys, key, strict=True)])
+        else:
+            test = self._text() == key
+            if len(self.keys) > 1 and len(self.frame._sdf.filter(test).select(*self._ids()).distinct().limit(2).collect()) > 1:
+                raise ValueError(f"several keys read {key!r}: give a tuple")
+        return self.frame._new(self._kept().filter(test), labels=self.keys, cols=self._cols(()))
 
     def col(self, name: str) -> Grouped:
         f = self._cols([name])[0]
         return Grouped(self.frame._new(cols=[f], level_names=(), name=f.name, kind=Series), self.keys, self.having, self.aligned)
 
     def list_groups(self) -> list[str]:
-        """In order of first appearance, on the driver."""
+        """Keys as texts in order of first appearance, all on the driver."""
         return [r[0] for r in self._groups({}).select(self._text().alias("k"), "__first").orderBy("__first").collect()]
 
     def __len__(self) -> int:
@@ -224,8 +233,18 @@ class Grouped:
         return [[r[k] for r in got] for k in range(len(self.keys))]
 
     def __iter__(self) -> Iterator[Frame]:
-        for key in self.list_groups():
-            yield self.get_group(key)
+        """Group after group by first appearance, in one pass over the sorted rows; a group's rows are on the driver while it is the current one."""
+        g = self.frame_()
+        ids, n = [f.id for f in g.fields], len(g.labels)
+        names, o = [new_id() for _ in ids], new_id()
+        kinds = ", ".join([*(f"{i} {g._sdf.schema[c].dataType.simpleString()}" for i, c in zip(names, ids, strict=True)), f"{o} long"])
+        fields = [Field(f.name, i) for f, i in zip(g.fields, names, strict=True)]
+        # rows of one group follow each other: their first appearance leads the order, and keys tell groups apart
+        order = g.order if not self.aligned else [(c, True) for c in self._ids()] + list(g.order)
+        rows = g._sdf.orderBy(*B.directed(order)).select(*ids).toLocalIterator()
+        for _, own in itertools.groupby(rows, key=lambda r: tuple(r[:n])):
+            local = [(*r, k) for k, r in enumerate(own)]
+            yield g._new(g.spark.createDataFrame(local, kinds), labels=fields[:n], cols=fields[n:], order=[(o, True)])
 
     def __str__(self) -> str:
         return str(self.frame_())
@@ -256,32 +275,79 @@ def _nth(c: Column, n: int, w: WindowSpec) -> Column:
     return F.nth_value(c, n + 1).over(w) if n >= 0 else F.get(F.reverse(F.collect_list(F.struct(c.alias("v"))).over(w)), F.lit(-n - 1))["v"]
 
 
-class RollingRows:
-    """Each row with the n - 1 after it. Rows at the end, whose window is cut off, have the last complete window's result."""
+def _nulls_or(test: Column | None, c: Column) -> Column:
+    return c if test is None else F.when(test, c)
 
-    def __init__(self, series: Series, n: int):
-        if n < 1:
-            raise ValueError("a window has one row or more")
-        self.series, self.n = series, n
+
+class _Rolling:
+    """Windows over the rows of a series as groups: each row with some of those after it. A row has its window's result; where windows are filtered
+    or incomplete, that of the last window left that holds the row, and null if there's none."""
+
+    def __init__(self, series: Series, value: Field | None = None, having: Sequence[Callable[[Column], Column]] = ()):
+        self.series, self.of, self.having = series, value or series.value, tuple(having)
+
+    def _like(self, series: Series, value: Field, having: Sequence[Callable[[Column], Column]]) -> _Rolling:
+        raise NotImplementedError
+
+    def _results(self, name: str, aggregate: Callable[[WindowSpec], Column], then: Callable[[Column, Column], Column]) -> Series:
+        """``then``: what remains to be done to the result; it gets the row's place in its window, too."""
+        raise NotImplementedError
+
+    def _named(self, name: str) -> str:
+        return f"{name}_{self.of.name}" if self.of.name else name
 
     def agg(self, kind: str) -> Series:
-        s, b, v = self.series, self.series._positions(), new_id()
-        a, then = _windowed(kind, F.col(s.value.id), s.type(), s)
-        out = s._placed(b, B.forward_rows(b, self.n, {v: a.over}))
-        sdf = out._sdf if self.n > b.size else out._sdf.withColumn(v, then(F.col(v)))
-        return out._new(sdf, cols=[Field(f"{kind}_{s.value.name}" if s.value.name else kind, v)])
+        a, then = _windowed(kind, F.col(self.of.id), self.series.kind(self.of), self.series)
+        return self._results(self._named(kind), a.over, lambda v, _: then(v))
 
     def nth(self, n: int) -> Series:
         """The n-th row of each window (from its end if negative), null where there's none."""
-        return self._of("nth", lambda w: _nth(F.col(self.series.value.id), n, w))
+        return self._results(self._named("nth"), lambda w: _nth(F.col(self.of.id), n, w), lambda v, _: v)
 
-    def reduce(self, name: str, function: Callable[[Column, WindowSpec], Column]) -> Series:
-        """``function``: (Column, window) to a Column."""
-        return self._of(name, lambda w: function(F.col(self.series.value.id), w))
+    def reduce(self, name: str, function: Callable) -> Series:
+        """``function``: (Column, window) to a Column, or an ``opaque`` one of a pandas Series of a window's values to a value."""
+        if getattr(function, "_opaque", False):
+            kind = function._kind or "double"
+            call = F.pandas_udf(lambda v: v.map(lambda x: None if x is None else function(pd.Series(list(x)))), kind)
+            return self._results(self._named(name), lambda w: self._list(w), lambda v, _: call(v))
+        return self._results(self._named(name), lambda w: function(F.col(self.of.id), w), lambda v, _: v)
+
+    def _list(self, w: WindowSpec) -> Column:
+        """All values of a window, nulls included."""
+        return F.transform(F.collect_list(F.struct(F.col(self.of.id).alias("v"))).over(w), lambda x: x["v"])
+
+    def apply(self, function: Callable) -> _Rolling:
+        """New values within windows, as many as there were: each row takes its own from its window. ``function``: an array Column to one, or an
+        ``opaque`` one of pandas Series."""
+        kind = self.series.kind(self.of).simpleString()
+        if getattr(function, "_opaque", False):
+            plain = function
+            function = F.pandas_udf(lambda v: v.map(lambda x: None if x is None else list(plain(pd.Series(list(x))))), f"array<{function._kind or kind}>")
+        out = self._results(self.of.name, lambda w: self._list(w), lambda v, place: F.get(function(v), place.cast("int")))
+        # windows stay those of the series' own values
+        kept = out._new(cols=[self.series.value], name=self.series.name)
+        return self._like(kept, out.value, self.having)
+
+    def having_count(self, test: Callable[[Column], Column]) -> _Rolling:
+        """Windows whose number of rows passes."""
+        return self._like(self.series, self.of, [*self.having, test])
+
+    def _passes(self, rows: Column) -> Column | None:
+        return B.all_of([test(rows) for test in self.having]) if self.having else None
+
+    def __iter__(self) -> Iterator[list]:
+        """The values of every window, row by row, on the driver."""
+        got = self._windows()
+        for r in got._sdf.orderBy(*B.directed(got.order)).select(got.value.id).toLocalIterator():
+            if r[0] is not None:
+                yield list(r[0])
+
+    def _windows(self) -> Series:
+        raise NotImplementedError
 
-    def _of(self, name: str, aggregate: Callable[[WindowSpec], Column]) -> Series:
-        s, b, v = self.series, self.series._positions(), new_id()
-        return s._placed(b, B.forward_rows(b, self.n, {v: aggregate}))._new(cols=[Field(f"{name}_{s.value.name}" if s.value.name else name, v)])
+    def __len__(self) -> int:
+        got = self._windows()
+        return got._sdf.filter(F.col(got.value.id).isNotNull()).count()
 
     def __getattr__(self, name: str) -> Callable[[], Series]:
         kind = {"std": "stdDev"}.get(name, name)
@@ -290,36 +356,155 @@ class RollingRows:
         return lambda: self.agg(kind)
 
 
-class RollingTime:
-    """Each timestamp with those of the duration from it on; of equal timestamps only those at or after the row in order. Rows
-    must ascend by time. A row is copied to its own bucket of the duration and the one before, so a window never leaves a bucket."""
-
-    def __init__(self, series: Series, d: timedelta):
-        self.series, self.d = series, d
+class RollingRows(_Rolling):
+    """Each row with the n - 1 after it. Rows at the end, whose window is cut off, have the last complete window's result."""
 
-    def agg(self, kind: str) -> Series:
-        s, v = self.series, new_id()
-        step = max(1, self.d // timedelta(microseconds=1))
+    def __init__(self, series: Series, n: int, value: Field | None = None, having: Sequence[Callable[[Column], Column]] = ()):
+        if n < 1:
+            raise ValueError("a window has one row or more")
+        super().__init__(series, value, having)
+        self.n = n
+
+    def _like(self, series: Series, value: Field, having: Sequence[Callable[[Column], Column]]) -> RollingRows:
+        return RollingRows(series, self.n, value, having)
+
+    def _rows(self) -> Series:
+        """The series with what windows are over as a column of its blocks."""
+        return self.series if self.of.id == self.series.value.id else self.series._new(cols=[self.series.value, self.of])
+
+    def _results(self, name: str, aggregate: Callable[[WindowSpec], Column], then: Callable[[Column, Column], Column]) -> Series:
+        s, v = self._rows(), new_id()
+        b = s._positions()
+        place = F.col(B.POS) - F.least(F.col(B.POS), F.lit(b.size - self.n))
+        df = B.forward_rows(b, self.n, {v: aggregate})
+        if self.n <= b.size:
+            df = df.withColumn(v, _nulls_or(self._passes(F.lit(self.n)), then(F.col(v), place)))
+        return s._placed(b, df)._new(cols=[Field(name, v)], name=name, kind=Series)
+
+    def _windows(self) -> Series:
+        s, v = self._rows(), new_id()
+        b = s._positions()
+        df = B.forward_rows(b, self.n, {v: self._list})
+        whole = (F.col(B.POS) <= b.size - self.n) & (self._passes(F.lit(self.n)) if self.having else F.lit(True))
+        return s._placed(b, df.withColumn(v, F.when(whole, F.col(v))))._new(cols=[Field("windows", v)], kind=Series)
+
+
+class RollingTime(_Rolling):
+    """Each timestamp with those after it that are less than the duration later; rows must ascend by time. A row is copied to its own bucket of
+    the duration and its neighbours, so a window never leaves a bucket; a duration that holds much of the series makes large buckets."""
+
+    def __init__(self, series: Series, d: timedelta, value: Field | None = None, having: Sequence[Callable[[Column], Column]] = ()):
+        if d < timedelta(0):
+            raise ValueError("a duration isn't negative")
+        super().__init__(series, value, having)
+        self.d = d
+
+    def _like(self, series: Series, value: Field, having: Sequence[Callable[[Column], Column]]) -> RollingTime:
+        return RollingTime(series, self.d, value, having)
+
+    def _spread(self, around: Sequence[int]) -> tuple[DataFrame, DataFrame]:
+        """Rows with a time, copied to buckets of the duration, and those without one."""
+        s = self.series
         at = F.unix_micros(casts.to_time(F.col(s.value.id), s.type(), s.options).cast("timestamp"))
         df = s._sdf.withColumn("__us", at).withColumn("__key", s._settled()._order_key())
-        null = df.filter(F.col("__us").isNull())
-        df = df.filter(F.col("__us").isNotNull()).withColumn("__own", F.floor(F.col("__us") / step))
-        spread = df.withColumn("__bucket", F.explode(F.array("__own", F.col("__own") - 1)))
-        w = Window.partitionBy("__bucket").orderBy("__us")
-        a, then = _windowed(kind, F.col(s.value.id), s.type(), s)
-        if kind == "count" or kind == "nunique":
-            # equal timestamps before the row in order lie in the range frame, but not in its window
-            peers = Window.partitionBy("__bucket", "__us").orderBy("__key")
-            earlier = F.row_number().over(peers) - 1
-            got = then(a.over(w.rangeBetween(0, step - 1)))
-            got = got - earlier if kind == "count" else got
-        else:
-            got = then(a.over(w.rangeBetween(0, step - 1)))
-        out = spread.withColumn(v, got).filter(F.col("__bucket") == F.col("__own")).drop("__own", "__bucket")
+        timed = df.filter(F.col("__us").isNotNull()).withColumn("__own", F.floor(F.col("__us") / self._step()))
+        spread = timed.withColumn("__bucket", F.explode(F.array(*(F.col("__own") - k for k in around))))
+        # of equal timestamps only those at or after the row in order are in its window
+        peers = Window.partitionBy("__bucket", "__us").orderBy("__key")
+        return spread.withColumn("__earlier", (F.row_number().over(peers) - 1).cast("long")), df.filter(F.col("__us").isNull())
+
+    def _step(self) -> int:
+        return max(1, self.d // timedelta(microseconds=1))
+
+    def _ranged(self) -> WindowSpec:
+        return Window.partitionBy("__bucket").orderBy("__us").rangeBetween(0, self._step() - 1)
+
+    def _finished(self, spread: DataFrame, null: DataFrame, made: Column, name: str) -> Series:
+        v = new_id()
+        out = spread.withColumn(v, made).filter(F.col("__bucket") == F.col("__own")).select(*null.columns, v)
         out = out.unionByName(null.withColumn(v, F.lit(None).cast(out.schema[v].dataType))).drop("__us", "__key")
-        return s._new(out, cols=[Field(f"{kind}_{s.value.name}" if s.value.name else kind, v)])
+        return self.series._new(out, cols=[Field(name, v)], name=name, kind=Series)
+
+    def _of_windows(self, name: str, then: Callable[[Column, Column], Column], own_only: bool = False) -> Series:
+        """``then`` of each row's window, as an array of its values, and the row's place in it."""
+        spread, null = self._spread([0, 1, -1] if self.having else [0, 1])
+        of = F.col("__us") if self.of.id == self.series.value.id else F.col(self.of.id)
+        kind = self.series.type() if self.of.id == self.series.value.id else None
+        order = Window.partitionBy("__bucket").orderBy("__us", "__key")
+        spread = spread.withColumn("__n", F.row_number().over(order))
+        items = F.transform(F.array_sort(F.collect_list(F.struct("__us", "__key", F.struct(of.alias("v")).alias("x"))).over(self._ranged())), lambda y: y["x"]["v"])
+        rows = F.slice(items, F.col("__earlier").cast("int") + 1, F.greatest(F.size(items), F.lit(1)))
+        if kind is not None:  # a time travels as a number
+            rows = F.transform(rows, lambda x: F.timestamp_micros(x).cast(kind if casts.is_time(kind) else "timestamp_ntz"))
+        spread = spread.withColumn("__all", rows)
+        test = self._passes(F.size("__all"))
+        mine = F.struct(F.col("__all").alias("a"), F.col("__n").alias("n"))
+        if test is not None and own_only:
+            spread = spread.withColumn("__got", F.when(test, mine))
+        elif test is not None:
+            held = F.last(F.when(test & (F.col("__own") <= F.col("__bucket")), mine), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+            spread = spread.withColumn("__got", held)
+            spread = spread.withColumn("__got", F.when(F.col("__n") < F.col("__got")["n"] + F.size(F.col("__got")["a"]), F.col("__got")))
+        else:
+            spread = spread.withColumn("__got", mine)
+        got = F.col("__got")
+        return self._finished(spread, null, F.when(got.isNotNull(), then(got["a"], F.col("__n") - got["n"])), name)
 
-    def __getattr__(self, name: str) -> Callable[[], Series]:
-        if name not in ("count", "nunique", "earliest", "latest", "first", "last"):
-            raise AttributeError(name)
-        return lambda: self.agg(name)
+    def agg(self, kind: str) -> Series:
+        name, c, of = self._named(kind), F.col(self.of.id), self.series.kind(self.of)
+        if kind not in KINDS:
+            raise ValueError(f"unknown reduction {kind!r}; one of {', '.join(KINDS)}")
+        if not self.having and kind in ("count", "last", "latest"):
+            # what comes before the row at its own time doesn't change the last, and is counted off
+            spread, null = self._spread([0, 1])
+            if kind == "count":
+                some = F.count(c).over(self._ranged()) - F.coalesce(F.count(c).over(Window.partitionBy("__bucket", "__us").orderBy("__key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+                return self._finished(spread, null, F.nullif(some, F.lit(0).cast("long")), name)
+            if kind == "latest":
+                return self._finished(spread, null, F.max(casts.to_time(c, of, self.series.options)).over(self._ranged()), name)
+        return self._of_windows(name, lambda a, _: _of_array(kind, a, of, self.series))
+
+    def nth(self, n: int) -> Series:
+        """The n-th row of each window (from its end if negative), null where there's none."""
+        return self._of_windows(self._named("nth"), lambda a, _: F.get(a, F.lit(n) if n >= 0 else F.size(a) + n))
+
+    def reduce(self, name: str, function: Callable) -> Series:
+        """``function``: an array Column of a window's values to a Column, or an ``opaque`` one of a pandas Series of them to a value."""
+        if getattr(function, "_opaque", False):
+            call = F.pandas_udf(lambda v: v.map(lambda x: None if x is None else function(pd.Series(list(x)))), function._kind or "double")
+            return self._of_windows(self._named(name), lambda a, _: call(a))
+        return self._of_windows(self._named(name), lambda a, _: function(a))
+
+    def apply(self, function: Callable) -> RollingTime:
+        if getattr(function, "_opaque", False):
+            kind, plain = function._kind or self.series.kind(self.of).simpleString(), function
+            function = F.pandas_udf(lambda v: v.map(lambda x: None if x is None else list(plain(pd.Series(list(x))))), f"array<{kind}>")
+        out = self._of_windows(self.of.name, lambda a, place: F.get(function(a), place.cast("int")))
+        return RollingTime(out._new(cols=[self.series.value], name=self.series.name), self.d, out.value, self.having)
+
+    def _windows(self) -> Series:
+        return self._of_windows("windows", lambda a, _: a, own_only=True)
+
+
+def _of_array(kind: str, a: Column, of: T.DataType, frame: Frame) -> Column:
+    """A reduction of an array of values in order, nulls included."""
+    some = F.filter(a, lambda x: x.isNotNull())
+    if kind == "count":
+        return F.nullif(F.size(some).cast("long"), F.lit(0).cast("long"))
+    if kind == "nunique":
+        return F.nullif(F.size(F.array_distinct(some)).cast("long"), F.lit(0).cast("long"))
+    if kind in ("first", "last"):
+        return F.get(a, F.lit(0) if kind == "first" else F.size(a) - 1)
+    if kind in ("earliest", "latest"):
+        times = F.transform(a, lambda x: casts.to_time(x, of, frame.options))
+        return F.array_min(times) if kind == "earliest" else F.array_max(times)
+    v = F.filter(F.transform(a, lambda x: casts.to_float(x, of)), lambda x: x.isNotNull())
+    n = F.size(v)
+    total = lambda f: F.aggregate(v, F.lit(0.0), lambda t, x: t + f(x))
+    mean = F.when(n > 0, total(lambda x: x) / n)
+    if kind == "stdDev":
+        return F.when(n > 0, F.sqrt(F.greatest(F.lit(0.0), total(lambda x: x * x) / n - mean * mean)))
+    if kind == "median":
+        u = F.array_sort(v)
+        return F.when(n > 0, (F.get(u, F.floor((n - 1) / 2).cast("int")) + F.get(u, F.floor(n / 2).cast("int"))) / 2)
+    return {"sum": F.when(n > 0, total(lambda x: x)), "mean": mean, "min": F.array_min(v), "max": F.array_max(v)}[kind]

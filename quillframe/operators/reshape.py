@@ -14,6 +14,9 @@ from quillframe.operators import blocks as B
 from quillframe.operators.frame import Field, Frame, new_id
 from quillframe.operators.grouped import NUMBERS, reducer
 
+#: New columns up to which a pivot is one aggregation.
+WIDE = 64
+
 
 def _headers(frame: Frame, text: Column) -> list[str]:
     most = int(frame.spark.conf.get("spark.sql.pivotMaxValues"))
@@ -53,11 +56,14 @@ def pivot_table(frame: Frame, labels: str, columns: str, values: str, how: str =
     row, col, val = frame.field(labels), frame.field(columns), frame.field(values)
     names = _headers(frame, _text(frame, col))
     o, ids = new_id(), {n: new_id() for n in names}
-    text = _text(frame, col).alias("__h")
-    first = frame._sdf.groupBy(row.id).agg(F.min(frame._order_key()).alias(o))
-    wide = frame._sdf.select(row.id, text, val.id).groupBy(F.col(row.id).alias("__r")).pivot("__h", names).agg(reducer(how, F.col(val.id), frame.kind(val), frame))
-    wide = wide.toDF("__r", *ids.values())
-    sdf = first.join(wide, F.col(row.id).eqNullSafe(F.col("__r"))).drop("__r")
+    text, value = _text(frame, col), F.col(val.id)
+    if len(names) <= WIDE:  # one aggregation: a conditional aggregate for each column
+        cells = [reducer(how, F.when(text == n, value), frame.kind(val), frame).alias(i) for n, i in ids.items()]
+        sdf = frame._sdf.groupBy(row.id).agg(*cells, F.min(frame._order_key()).alias(o))
+    else:  # first by row and column, so that work doesn't grow with rows times columns
+        first = frame._sdf.groupBy(row.id).agg(F.min(frame._order_key()).alias(o))
+        wide = frame._sdf.select(row.id, text.alias("__h"), val.id).groupBy(F.col(row.id).alias("__r")).pivot("__h", names).agg(reducer(how, value, frame.kind(val), frame))
+        sdf = first.join(wide.toDF("__r", *ids.values()), F.col(row.id).eqNullSafe(F.col("__r"))).drop("__r")
     return frame._new(sdf, labels=[row], cols=[Field(n, i) for n, i in ids.items()], order=[(o, True)], name=f"{how}_{frame.name}" if frame.name else how, level_names=[col.name], kind=Frame)
 
 

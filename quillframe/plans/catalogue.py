@@ -8,9 +8,10 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillframe.config import Options
 from quillframe.functions import casts
 from quillframe.functions.resample import Resampler
-from quillframe.operators.frame import Frame, NullFiller, Series, Sorter, concat_series, make_multi_level_labels, opaque
+from quillframe.operators.frame import Frame, NullFiller, Series, Sorter, concat_series, label_product, make_multi_level_labels, opaque
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -157,9 +158,13 @@ def drop_row(spark, sf):
     return out(frame(spark, sf, "customer", "c_name").drop_row(5))
 
 
-@query("SELECT c_custkey, c_name FROM customer")
+@query("SELECT c_custkey, c_name, true AS moved, 1 AS times FROM customer")
 def shuffle_rows(spark, sf):
-    return out(frame(spark, sf, "customer", "c_name").shuffle(7))
+    """Every row once, and whether the rows as a whole have moved: fewer than one in ten of them lies where it lay, or beside it."""
+    f = frame(spark, sf, "customer", "c_name").shuffle(7).reset_labels().set_label_names(["place"])
+    df = f.to_spark().withColumn("near", (F.abs(F.col("place") + 1 - F.col("c_custkey")) < 2).cast("int"))
+    still = df.agg((F.sum("near") * 10 < F.count("*")).alias("moved"))
+    return df.groupBy("c_custkey", "c_name").agg(F.count("*").cast("int").alias("times")).crossJoin(F.broadcast(still))  # one row
 
 
 @query("SELECT event_id, CASE WHEN row_number() OVER (ORDER BY event_id) IN (1, 3) THEN -value ELSE value END AS value FROM events")
@@ -393,6 +398,11 @@ def multi_level_labels(spark, sf):
     return spark.createDataFrame(list(zip(a, b, strict=True)), "a string, b int")
 
 
+@query("SELECT r_name, n_name FROM region, nation")
+def multi_level_labels_of_tables(spark, sf):
+    return out(label_product(frame(spark, sf, "region", "r_name"), frame(spark, sf, "nation", "n_name")))
+
+
 # ---- reshape ----
 
 _PIVOT = {"sum": "sum", "mean": "avg", "median": "median", "stdDev": "stddev_pop", "count": "count", "min": "min", "max": "max"}
@@ -413,19 +423,22 @@ for _k, _s in _PIVOT.items():
     _pivot(_k, _s)
 
 
-@query("""SELECT user_id, arg_max(value, event_id) FILTER (WHERE event_type = 'click') AS "click|value", arg_max(value, event_id) FILTER (WHERE event_type = 'view') AS "view|value"
-FROM events GROUP BY 1""")
+_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("SELECT user_id, " + ", ".join(f"arg_max(value, event_id) FILTER (WHERE event_type = '{x}') AS \"{x}|value\"" for x in _TYPES) + " FROM events GROUP BY 1")
 def promote(spark, sf):
     f = frame(spark, sf, "events", "event_type", "user_id", "value").set_as_labels("event_type", "user_id").subset_labels([1, 2])
-    f = f.promote_to_col_level("event_type")
-    return out(f.select("click|value", "view|value"))
+    return out(f.promote_to_col_level("event_type"))
+
 
+def _turned(field: str, value: str) -> str:
+    return f"SELECT '{field}' AS field, " + ", ".join(f'max({value}) FILTER (WHERE n_nationkey = {k}) AS "{k}"' for k in range(25)) + " FROM nation"
 
-@query("""SELECT 'n_name' AS field, max(n_name) FILTER (WHERE n_nationkey = 0) AS "0", max(n_name) FILTER (WHERE n_nationkey = 7) AS "7" FROM nation
-UNION ALL SELECT 'n_regionkey', max(CAST(n_regionkey AS VARCHAR)) FILTER (WHERE n_nationkey = 0), max(CAST(n_regionkey AS VARCHAR)) FILTER (WHERE n_nationkey = 7) FROM nation""")
+
+@query(f"{_turned('n_name', 'n_name')} UNION ALL {_turned('n_regionkey', 'CAST(n_regionkey AS VARCHAR)')}")
 def transpose_small(spark, sf):
-    f = frame(spark, sf, "nation", "n_name", "n_regionkey").transpose().set_label_names(["field"])
-    return out(f.select("0", "7"))
+    return out(frame(spark, sf, "nation", "n_name", "n_regionkey").transpose().set_label_names(["field"]))
 
 
 # ---- analytic ----
@@ -474,22 +487,79 @@ def shift_neg3(spark, sf):
 def _rolling(kind: str, sql: str) -> None:
     def f(spark, sf):
         name = f"{kind}_value"
-        return out(getattr(_values(spark, sf).rolling_n(3), kind)(), *([] if kind == "count" else [name]))
+        return out(_values(spark, sf).rolling_n(3).agg(kind), *([] if kind in ("count", "nunique") else [name]))
 
-    f.__name__ = f"rolling_n_{kind}"
-    value = f"nullif({sql}, 0)" if kind == "count" else f"round({sql}, 3)"
+    f.__name__ = f"rolling_n_{kind.lower()}"
+    value = f"nullif({sql}, 0)" if kind in ("count", "nunique") else f"round({sql}, 3)"
     query(f"""WITH e AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS i, count(*) OVER () AS n, {value} AS r
 FROM ({_NULLED}) WINDOW w AS (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING))
-SELECT a.event_id, b.r AS {kind}_value FROM e a JOIN e b ON b.i = least(a.i, a.n - 2)""")(f)
+SELECT a.event_id, b.r AS "{kind}_value" FROM e a JOIN e b ON b.i = least(a.i, a.n - 2)""")(f)
 
 
-for _k, _s in (("sum", "sum(v) OVER w"), ("mean", "avg(v) OVER w"), ("max", "max(v) OVER w"), ("count", "count(v) OVER w")):
+_ROLLING = {"sum": "sum(v) OVER w", "mean": "avg(v) OVER w", "max": "max(v) OVER w", "min": "min(v) OVER w", "count": "count(v) OVER w", "median": "median(v) OVER w", "stdDev": "stddev_pop(v) OVER w"}
+_ROLLING |= {"nunique": "count(DISTINCT v) OVER w", "first": "first_value(v) OVER w", "last": "last_value(v) OVER w"}
+for _k, _s in _ROLLING.items():
     _rolling(_k, _s)
 
+_THREE = f"""WITH e AS (SELECT event_id, v, row_number() OVER (ORDER BY event_id) AS i, count(*) OVER () AS n FROM ({_NULLED})), w AS (
+SELECT a.event_id, a.i - least(a.i, a.n - 2) AS place, list(b.v ORDER BY b.i) AS l FROM e a JOIN e b ON b.i - least(a.i, a.n - 2) BETWEEN 0 AND 2 GROUP BY 1, 2)"""
+
+
+@query(f"{_THREE} SELECT event_id, l[2] AS nth_value FROM w")
+def rolling_n_nth(spark, sf):
+    return out(_values(spark, sf).rolling_n(3).nth(1))
+
+
+@query(f"{_THREE} SELECT event_id, round(list_max(l) - list_min(l), 3) AS spread_value FROM w")
+def rolling_n_reduce(spark, sf):
+    return out(_values(spark, sf).rolling_n(3).reduce("spread", lambda c, w: F.max(c).over(w) - F.min(c).over(w)), "spread_value")
+
+
+@query(f"{_THREE}, t AS (SELECT event_id, l[3 - place] AS v FROM w), r AS (SELECT event_id, round(sum(v) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING), 3) AS r, row_number() OVER (ORDER BY event_id) AS i, count(*) OVER () AS n FROM t) SELECT a.event_id, b.r AS sum_value FROM r a JOIN r b ON b.i = least(a.i, a.n - 2)")
+def rolling_n_apply(spark, sf):
+    """Each window's values turned round, then summed by window."""
+    return out(_values(spark, sf).rolling_n(3).apply(F.reverse).sum(), "sum_value")
+
+
+@query(f"SELECT event_id, CAST(NULL AS DOUBLE) AS sum_value FROM ({_NULLED})")
+def rolling_n_having(spark, sf):
+    return out(_values(spark, sf).rolling_n(3).having_count(lambda n: n > 3).sum(), "sum_value")
+
+
+_HOUR = "WITH w AS (SELECT e.event_id, e.ts, list(f.ts ORDER BY f.ts) AS l FROM events e JOIN events f ON f.ts >= e.ts AND f.ts < e.ts + INTERVAL 1 HOUR GROUP BY 1, 2)"
+
+
+def _of_hour(kind: str, sql: str, made: Callable | None = None) -> None:
+    def f(spark, sf):
+        r = frame(spark, sf, "events", "ts")["ts"].rolling_duration(timedelta(hours=1))
+        return out(made(r) if made else r.agg(kind))
+
+    f.__name__ = f"rolling_duration_{kind}"
+    query(f'{_HOUR} SELECT event_id, {sql} AS "{kind}_ts" FROM w')(f)
+
+
+_of_hour("count", "len(l)")
+_of_hour("nunique", "list_unique(l)")
+_of_hour("earliest", "l[1]")
+_of_hour("latest", "l[-1]")
+_of_hour("first", "l[1]")
+_of_hour("last", "l[-1]")
+_of_hour("nth", "l[2]", lambda r: r.nth(1))
+_of_hour("reduce", "len(l)", lambda r: r.reduce("reduce", lambda a: F.size(a).cast("long")))
 
-@query("SELECT e.event_id, count(*) AS count_ts FROM events e JOIN events f ON f.ts >= e.ts AND f.ts < e.ts + INTERVAL 1 HOUR GROUP BY 1")
-def rolling_duration_count(spark, sf):
-    return out(frame(spark, sf, "events", "ts")["ts"].rolling_duration(timedelta(hours=1)).count())
+
+@query("""WITH w AS (SELECT e.event_id, e.ts, count(*) AS n, max(f.ts) AS last FROM events e JOIN events f ON f.ts >= e.ts AND f.ts < e.ts + INTERVAL 1 HOUR GROUP BY 1, 2)
+SELECT a.event_id, (SELECT max_by(b.last, b.ts) FROM w b WHERE b.n > 2 AND b.ts <= a.ts AND b.last >= a.ts) AS last_ts FROM w a""")
+def rolling_duration_having(spark, sf):
+    r = frame(spark, sf, "events", "ts")["ts"].rolling_duration(timedelta(hours=1))
+    return out(r.having_count(lambda n: n > 2).last())
+
+
+@query(f"{_HOUR}, t AS (SELECT a.event_id, (SELECT max_by(b.l[len(b.l) - list_position(b.l, a.ts) + 1], b.ts) FROM w b WHERE b.ts <= a.ts AND list_contains(b.l, a.ts)) AS t FROM w a) SELECT event_id, t AS first_ts FROM t")
+def rolling_duration_apply(spark, sf):
+    """Each window's times turned round: a row keeps that at its own place in its own window."""
+    r = frame(spark, sf, "events", "ts")["ts"].rolling_duration(timedelta(hours=1))
+    return out(r.apply(F.reverse).first())
 
 
 _RESAMPLES = {
@@ -537,6 +607,18 @@ def _local(spark, sf) -> Frame:
     return frame(spark, sf, "nation", "n_name", "n_regionkey")
 
 
+def _shared(spark) -> str:
+    """A new folder that driver and executors share and that goes with the session: below ``spark.checkpoint.dir``, or a local one where that is unset."""
+    import tempfile
+    import uuid
+
+    sc = spark.sparkContext
+    top = sc.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{top.rstrip('/')}/quillframe-{uuid.uuid4().hex}")
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
 _NATIONS = "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation"
 
 
@@ -563,11 +645,9 @@ def json_round_trip(spark, sf):
 
 @query("SELECT CAST(o_orderkey AS DOUBLE) AS o_orderkey, o_totalprice, o_orderstatus FROM orders")
 def csv_round_trip(spark, sf):
-    import tempfile
-
     from quillframe.sources import read_csv, write_csv
 
-    to = f"file://{tempfile.mkdtemp()}/csv"
+    to = _shared(spark)
     write_csv(frame(spark, sf, "orders", "o_totalprice", "o_orderstatus"), to)
     return out(read_csv(spark, to, label_levels=1, infer_types=True))
 
@@ -591,3 +671,168 @@ def matrix_source(spark, sf):
 
     got = _local(spark, sf).to_spark().select("n_nationkey", "n_regionkey").collect()
     return out(read_matrix(spark, np.array(got, float)), labels=False)
+
+
+# ---- operators that had no query of their own ----
+
+
+@query("SELECT c_custkey AS key, c_name, upper(c_mktsegment) AS segment FROM customer")
+def with_label(spark, sf):
+    f = frame(spark, sf, "customer", "c_name", "c_mktsegment").with_label("c_custkey", "key")
+    return out(f.with_label("segment", lambda c: F.upper(c["c_mktsegment"])).swap_labels("key", "segment").drop_col("c_mktsegment"))
+
+
+@query("SELECT c_custkey, c_name, c_nationkey FROM customer")
+def subset_and_drop(spark, sf):
+    f = frame(spark, sf, "customer", "c_name", "c_mktsegment", "c_nationkey").subset_cols([0, 2])
+    return out(f.with_label("other", lambda c: c["c_nationkey"] + 1).reorder_labels(["other", "c_custkey"]).drop_labels("other").subset_labels([0]))
+
+
+@query("SELECT c_custkey, c_name FROM customer")
+def filter_cols(spark, sf):
+    return out(frame(spark, sf, "customer", "c_name", "c_mktsegment", "c_nationkey").filter_cols(lambda n: n.endswith("_name")))
+
+
+@query("SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS place FROM customer QUALIFY c_mktsegment = 'BUILDING'")
+def filter_index(spark, sf):
+    at = frame(spark, sf, "customer", "c_mktsegment").filter_index("c_mktsegment", lambda c: c == "BUILDING")
+    return spark.createDataFrame([(i,) for i in at], "place long")
+
+
+@query("SELECT c_custkey, -c_acctbal AS c_acctbal FROM customer")
+def with_values(spark, sf):
+    s = frame(spark, sf, "customer", "c_acctbal")["c_acctbal"]
+    return out(s.with_values(-F.col(s.value.id)))
+
+
+@query("SELECT s_suppkey AS key, s_acctbal AS v, c_acctbal AS v_1 FROM supplier LEFT JOIN customer ON c_custkey = s_suppkey")
+def series_merge(spark, sf):
+    a = frame(spark, sf, "supplier", "s_acctbal").set_label_names(["key"])["s_acctbal"].set_name("v")
+    return out(a.merge(frame(spark, sf, "customer", "c_acctbal").set_label_names(["key"])["c_acctbal"].set_name("v")))
+
+
+@query("SELECT s_suppkey AS key, c_acctbal FROM supplier LEFT JOIN customer ON c_custkey = s_suppkey")
+def series_lookup(spark, sf):
+    a = frame(spark, sf, "supplier", "s_acctbal").set_label_names(["key"])["s_acctbal"]
+    return out(a.lookup(frame(spark, sf, "customer", "c_acctbal").set_label_names(["key"])["c_acctbal"]))
+
+
+@query("SELECT o_custkey AS key, c_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
+def lookup_right(spark, sf):
+    return out(_customers(spark, sf).lookup(_orders(spark, sf), "right"))
+
+
+@query(f"SELECT c_custkey AS key, o_totalprice FROM customer JOIN {_FIRST_ORDER} ON c_custkey = o_custkey")
+def lookup_inner(spark, sf):
+    return out(_customers(spark, sf).lookup(_orders(spark, sf), "inner"))
+
+
+def _all_of(kind: str, sql: str) -> None:
+    def f(spark, sf):
+        got = frame(spark, sf, "customer", "c_acctbal", "c_nationkey").cast({"c_nationkey": casts.FLOAT})
+        return out(getattr(got, {"stdDev": "std"}.get(kind, kind))().set_label_names(["name"]), *([] if kind in ("count", "nunique") else [kind]))
+
+    f.__name__ = f"col_{kind.lower()}"
+    value = lambda c: sql.format(c) if kind in ("count", "nunique") else f"round({sql.format(c)}, 3)"
+    query(" UNION ALL ".join(f"SELECT '{c}' AS name, {value(c)} AS \"{kind}\" FROM customer" for c in ("c_acctbal", "c_nationkey")))(f)
+
+
+for _k, _s in (("median", "median({})"), ("stdDev", "stddev_pop({})"), ("min", "min({})::DOUBLE"), ("max", "max({})::DOUBLE"), ("count", "count({})"), ("nunique", "count(DISTINCT {})")):
+    _all_of(_k, _s)
+
+
+@query("SELECT event_type AS key, row_number() OVER (ORDER BY min(event_id)) - 1 AS place, count(*) AS rows FROM events GROUP BY 1")
+def group_iterator(spark, sf):
+    g = frame(spark, sf, "events", "event_type", "value").group_by("event_type")
+    names = g.list_groups()
+    return spark.createDataFrame([(names[k], k, len(x)) for k, x in enumerate(g)], "key string, place long, rows long")
+
+
+@query("SELECT n_nationkey, n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS place FROM nation")
+def row_iterator(spark, sf):
+    rows = [(x["n_nationkey"], x["n_name"], k) for k, x in enumerate(frame(spark, sf, "nation", "n_name"))]
+    return spark.createDataFrame(rows, "n_nationkey int, n_name string, place long")
+
+
+@query("SELECT c_nationkey, c_name FROM customer QUALIFY row_number() OVER (ORDER BY c_custkey) = 8")
+def value_at(spark, sf):
+    f = frame(spark, sf, "customer", "c_name", "c_nationkey")
+    return spark.createDataFrame([(f.at(7, 1), f.at(7, 0))], "c_nationkey int, c_name string")
+
+
+@query("SELECT true AS same, 1 AS differences")
+def equal_records_of_a_frame(spark, sf):
+    from quillframe.sources import equal_records, to_records
+
+    f = _local(spark, sf)
+    want = to_records(f)
+    same, _ = equal_records(f, want)
+    want[3][1] = "elsewhere"
+    return spark.createDataFrame([(same, len(equal_records(f, want)[1]))], "same boolean, differences int")
+
+
+@query("SELECT true AS frames, true AS groups, false AS other")
+def equality(spark, sf):
+    from quillframe.sources import equal_frames, equal_groups
+
+    a, b, c = (frame(spark, sf, "customer", "c_nationkey", "c_acctbal") for _ in range(3))
+    c = c.apply({"c_acctbal": lambda v: v + 1})
+    key = "c_nationkey"
+    return spark.createDataFrame([(equal_frames(a, b), equal_groups(a.group_by(key), b.group_by(key)), equal_groups(a.group_by(key), c.group_by(key)))], "frames boolean, groups boolean, other boolean")
+
+
+@query("SELECT 1000 AS rows, true AS numbers, true AS dates, true AS words, true AS some_null")
+def mock_csv(spark, sf):
+    from quillframe.sources import read_csv, write_mock_csv
+
+    to = _shared(spark)
+    write_mock_csv(spark, "amount,day,word\n1.5,2020-01-01,x\n2,2020-02-01,y\n", to, 1000, null_share=0.2)
+    df = read_csv(spark, to, infer_types=True, blank_as_null=True).to_spark(False)
+    kinds = dict(df.dtypes)
+    row = df.agg(F.count("*").cast("int").alias("rows"), F.count("amount").alias("a"), F.count("word").alias("w"))
+    return row.select("rows", F.lit(kinds["amount"] == "double").alias("numbers"), F.lit(kinds["day"] == "date").alias("dates"), F.lit(kinds["word"] == "string").alias("words"), F.col("a").between(700, 900).alias("some_null"))
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal > 0 AND c_nationkey < 20")
+def in_place(spark, sf):
+    m = frame(spark, sf, "customer", "c_name", "c_acctbal", "c_nationkey").in_place()
+    m.filter({"c_acctbal": lambda c: c > 0}).filter({"c_nationkey": lambda c: c < 20}).drop_col("c_nationkey")
+    return out(m.result)
+
+
+@query("SELECT c_custkey, c_name AS x, c_mktsegment AS x_1 FROM customer")
+def deduplicated_names(spark, sf):
+    return out(frame(spark, sf, "customer", "c_name", "c_mktsegment").set_col_names(["x", "x"]).deduplicate_names())
+
+
+@query("SELECT c_custkey, CASE WHEN c_mktsegment NOT IN ('BUILDING', 'none') THEN c_mktsegment END AS c_mktsegment FROM customer")
+def null_strings(spark, sf):
+    options = Options()
+    options.add_null_string("BUILDING")
+    df = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", "c_mktsegment")
+    return out(Frame.from_spark(df, ["c_custkey"], ["c_custkey"], options=options))
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders")
+def cast_text_to_time(spark, sf):
+    """Dates in four of the formats that are known by default."""
+    df = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_orderdate")
+    t, k = F.col("o_orderdate").cast("timestamp"), F.col("o_orderkey") % 4
+    forms = ["yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "dd MMM yy HH:mm 'UTC'", "yyyy-MM-dd HH:mm:ss Z 'UTC'"]
+    text = F.when(k == 0, F.date_format(t, forms[0])).when(k == 1, F.date_format(t, forms[1])).when(k == 2, F.date_format(t, forms[2])).otherwise(F.date_format(t, "MM-dd-yyyy"))
+    return out(Frame.from_spark(df.select("o_orderkey", text.alias("o_orderdate")), ["o_orderkey"], ["o_orderkey"]).cast({"o_orderdate": casts.DATETIME}))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def reader_and_writer(spark, sf):
+    from quillframe.sources import Reader, Writer, read_json, to_json
+
+    return out(Frame.read(spark, Reader(read_json, _local(spark, sf).write(Writer(to_json)))))
+
+
+@query("SELECT n_name AS label, CAST(n_regionkey AS BIGINT) AS v FROM nation")
+def series_of_values(spark, sf):
+    from quillframe.sources import read_series
+
+    f = _local(spark, sf)
+    return out(read_series(spark, f["n_regionkey"].get_values(), {"label": f["n_name"].get_values()}, "v"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import dataclasses
 import json
 from collections.abc import Sequence
+from dataclasses import replace
 from typing import Any
 
 import numpy as np
@@ -14,8 +15,8 @@ from pyspark.sql import types as T
 
 from quillframe.config import DEFAULT, Options
 from quillframe.functions import casts
-from quillframe.operators.blocks import directed
-from quillframe.operators.frame import Field, Frame, new_id
+from quillframe.operators.blocks import POS, directed, read_order
+from quillframe.operators.frame import Field, Frame, Series, new_id
 
 
 def _assembled(spark: SparkSession, rows: list[tuple], kinds: Sequence[str], names: Sequence[str], labels: int, name: str, level_names: Sequence[str], options: Options) -> Frame:
@@ -104,6 +105,12 @@ def read_columns(spark: SparkSession, columns: dict[Any, Sequence], label_levels
     return _assembled(spark, list(zip(*(v for _, v in found), strict=True)), kinds, list(names or map(str, columns)), label_levels, name, (), options)
 
 
+def read_series(spark: SparkSession, values: Sequence, labels: dict[str, Sequence] | None = None, name: str = "", options: Options = DEFAULT) -> Series:
+    """A series of local values under labels by name, or under ordinals."""
+    labels = labels or {}
+    return read_columns(spark, {**{("label", k): v for k, v in labels.items()}, "values": values}, len(labels), name, options, [*labels, name]).series()
+
+
 def read_csv(spark: SparkSession, path: str, header_rows: int = 1, label_levels: int = 0, separator: str = ",", comment: str | None = None, trim: bool = False, infer_types: bool = False, blank_as_null: bool = False, name: str = "", options: Options = DEFAULT) -> Frame:
     """A frame of a CSV file's texts. Rows of unequal length are an error; an empty field is an empty text unless ``blank_as_null``.
 
@@ -125,18 +132,25 @@ def read_csv(spark: SparkSession, path: str, header_rows: int = 1, label_levels:
     sdf = read.csv(path).withColumn(o, F.monotonically_increasing_id())
     if header_rows > 1:  # further header rows come first in the file
         sdf = sdf.filter(F.col(o) >= header_rows)
-    whole = F.when(F.col(bad).isNull(), F.col(o)).otherwise(F.raise_error(F.concat(F.lit("a row of another length: "), F.col(bad))).cast("long"))
-    sdf = sdf.withColumn(o, whole).drop(bad)
     empty = F.lit(None).cast("string") if blank_as_null else F.lit("")
     kind = T.StringType()
-    sdf = sdf.withColumns({i: casts.normalised(F.coalesce(F.col(i), empty), kind, options) for i in ids})
+
+    def checked(df: DataFrame, row: str) -> DataFrame:
+        """Texts by the null rules; a row of another length is an error once ``row`` is read."""
+        whole = F.when(F.col(bad).isNull(), F.col(row)).otherwise(F.raise_error(F.concat(F.lit("a row of another length: "), F.col(bad))).cast("long"))
+        return df.withColumn(row, whole).drop(bad).withColumns({i: casts.normalised(F.coalesce(F.col(i), empty), kind, options) for i in ids})
+
     names = [options.separator.join(h[k] for h in heads) for k in range(width)] if header_rows else _default_names(width, label_levels)
     if header_rows > 1:
         names[:label_levels] = [heads[-1][k] for k in range(label_levels)]
     fields = [Field(n, i) for n, i in zip(names, ids, strict=True)]
     levels = [f"*{k}" for k in range(header_rows)] if header_rows > 1 else []
-    out = Frame(sdf, fields[:label_levels], fields[label_levels:], [(o, True)], name, levels, options)
-    out = out if label_levels else out._default_label()
+    if label_levels or header_rows > 1:
+        out = Frame(checked(sdf, o), fields[:label_levels], fields[label_levels:], [(o, True)], name, levels, options)
+        out = out if label_levels else out._default_label()
+    else:
+        b = read_order(sdf, o)  # counts rows without parsing them
+        out = Frame(sdf, (), fields, [(o, True)], name, levels, options)._ordinals(replace(b, df=checked(b.df, POS)))
     return inferred(out) if infer_types else out
 
 
@@ -175,4 +189,11 @@ def read_parquet(spark: SparkSession, path: str, labels: Sequence[str] = (), ord
     return Frame.from_spark(spark.read.parquet(path), labels, order_by, name, options)
 
 
-_ = DataFrame
+class Reader:
+    """Anything with ``read(spark)`` that gives a frame: ``Frame.read`` takes it. This one holds a function of this module and its arguments."""
+
+    def __init__(self, function, *args, **kwargs):
+        self.function, self.args, self.kwargs = function, args, kwargs
+
+    def read(self, spark: SparkSession) -> Frame:
+        return self.function(spark, *self.args, **self.kwargs)

@@ -9,12 +9,13 @@ import json
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from quillframe.functions import casts
 from quillframe.operators.blocks import directed
 from quillframe.operators.frame import Frame
+from quillframe.operators.grouped import Grouped
 
 NULL = "(null)"
 
@@ -125,19 +126,37 @@ def equal_frames(a: Frame, b: Frame) -> bool:
     return alike and [a.kind(f) for f in a.fields] == [b.kind(f) for f in b.fields] and a.rows() == b.rows()
 
 
-_CHOICES = {
-    casts.FLOAT: [".5", "1", "2.25", "10", "100"],
-    casts.STRING: ["foo", "bar", "baz", "qux", "quux"],
-    casts.DATE: ["2020-01-01", "2020-02-01", "2020-03-01", "2020-04-01", "2020-05-01"],
-    casts.DATETIME: ["2020-01-01 00:00:00", "2020-01-01 12:00:00", "2020-01-02 00:00:00", "2020-01-02 12:00:00", "2020-01-03 00:00:00"],
-    casts.TIME: ["00:00:00", "06:30:00", "12:00:00", "15:30:00", "20:00:00"],
-}
+def equal_groups(a: Grouped, b: Grouped) -> bool:
+    """Same keys in the same order, with the same rows."""
+    return a.get_labels() == b.get_labels() and [f.name for f in a.keys] == [f.name for f in b.keys] and a.aligned == b.aligned and equal_frames(a.frame_(), b.frame_())
+
+
+class Writer:
+    """Anything with ``write(frame)``: ``Frame.write`` takes it. This one holds a function of this module and its arguments."""
+
+    def __init__(self, function, *args, **kwargs):
+        self.function, self.args, self.kwargs = function, args, kwargs
+
+    def write(self, frame: Frame) -> Any:
+        return self.function(frame, *self.args, **self.kwargs)
+
+
+def mock_value(kind: str, seed: int) -> Column:
+    """A random value of a type as text: a number of two places, a word of three to nine letters, a moment of the years 2000 to 2029."""
+    x, y = F.rand(seed), F.rand(seed + 1)
+    moment = F.timestamp_seconds(F.lit(946_684_800) + F.floor(x * (30 * 365 * 86_400)))
+    if kind == casts.FLOAT:
+        return F.format_string("%.2f", x * 1000)
+    if kind == casts.STRING:
+        return F.substring(F.translate(F.sha1(x.cast("string")), "0123456789", "ghijklmnop"), F.lit(1), (F.lit(3) + F.floor(y * 7)).cast("int"))
+    return F.date_format(moment, {casts.DATE: "yyyy-MM-dd", casts.DATETIME: "yyyy-MM-dd HH:mm:ss", casts.TIME: "HH:mm:ss"}[kind])
 
 
 def write_mock_csv(spark: SparkSession, sample: str, path: str, n: int, seed: int = 0, null_share: float = 0.1) -> None:
-    """``n`` rows with the columns of a sample CSV text and values of the types that its columns seem to have."""
-    rows = list(csv.reader(io.StringIO(sample)))
-    kinds = [casts.infer([r[k] for r in rows[1:11]]) for k in range(len(rows[0]))]
-    pick = lambda k, kind: F.element_at(F.array(*map(F.lit, _CHOICES[kind])), (F.rand(seed + 2 * k) * 5).cast("int") + 1)
-    cols = [F.when(F.rand(seed + 2 * k + 1) >= null_share, pick(k, kind)).otherwise(F.lit("")).alias(name) for k, (name, kind) in enumerate(zip(rows[0], kinds, strict=True))]
+    """``n`` rows with the columns of a sample CSV text and random values of the types that its columns seem to have; an empty field is a null."""
+    heads, *rows = csv.reader(io.StringIO(sample))
+    cols = []
+    for k, name in enumerate(heads):
+        value = mock_value(casts.infer([r[k] for r in rows[:10]]), seed + 3 * k)
+        cols.append(F.when(F.rand(seed + 3 * k + 2) < null_share, F.lit("")).otherwise(value).alias(name))
     spark.range(n).select(*cols).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)

@@ -89,6 +89,59 @@ def test_rolling(spark):
     assert s.count().get_values() == [3, 2, 1, 1] and s.latest().get_values()[0] == d + timedelta(4)
     t = make(spark, 0, t=[d, d, d + timedelta(1)])["t"]
     assert t.rolling_duration(timedelta(2)).count().get_values() == [3, 2, 1] and t.rolling_duration(timedelta(0)).count().get_values()[2] == 1
+    with pytest.raises(ValueError):
+        t.rolling_duration(timedelta(microseconds=-1))
+
+
+def brute_windows(values, windows, function, having=lambda n: True):
+    """Each row's entry of ``function`` of the last window, of those kept, that holds it."""
+    out = [None] * len(values)
+    for w in windows:
+        if w and having(len(w)):
+            got = function([values[i] for i in w])
+            for place, i in enumerate(w):
+                out[i] = got[place] if isinstance(got, list) else got
+    return out
+
+
+def test_rolling_as_groups(spark):
+    v, n = [4, 1, None, 7, 2, 9, 9], 3
+    rows = [list(range(i, i + n)) if i + n <= len(v) else [] for i in range(len(v))]
+    r = make(spark, 0, v=v)["v"].rolling_n(n)
+    assert [list(w) for w in r] == [[v[i] for i in w] for w in rows if w] and len(r) == 5
+    total = lambda w: float(sum(x for x in w if x is not None))
+    assert r.having_count(lambda k: k == 3).sum().get_values() == brute_windows(v, rows, total)
+    assert r.having_count(lambda k: k > 3).sum().get_values() == [None] * 7 and list(r.having_count(lambda k: k > 3)) == []
+    assert r.reduce("n", opaque(lambda w: float(len(w)))).get_values() == [3.0] * 7
+    back = lambda w: w[::-1]
+    assert r.apply(F.reverse)._windows().get_values()[0] is not None
+    turned = brute_windows(v, rows, back)
+    assert r.apply(F.reverse).nth(0).get_values() == [turned[w[0]] if w else turned[4] for w in rows]
+    assert r.apply(opaque(lambda s: s.fillna(0) * 2, "double")).sum().get_values()[0] == 10.0
+
+    d = datetime(2020, 1, 1)
+    for days, spans in (([0, 3, 4, 9], (5,)), ([0, 0, 1, 1, 1, 5, 6, 6, 7, 20], (2, 30))):
+        t = [d + timedelta(k) for k in days]
+        for span in spans:
+            wins = [[j for j in range(i, len(t)) if t[j] - t[i] < timedelta(span)] for i in range(len(t))]
+            r = make(spark, 0, t=t)["t"].rolling_duration(timedelta(span))
+            assert r.count().get_values() == [len(w) for w in wins] and r.nunique().get_values() == [len({t[j] for j in w}) for w in wins]
+            assert r.nth(1).get_values() == [t[w[1]] if len(w) > 1 else None for w in wins] and r.first().get_values() == t
+            assert r.last().get_values() == r.latest().get_values() == [t[w[-1]] for w in wins] and r.earliest().get_values() == t
+            kept = lambda n: n >= 2
+            assert r.having_count(kept).last().get_values() == brute_windows(t, wins, lambda w: w[-1], kept)
+            assert [list(w) for w in r.having_count(kept)] == [[t[j] for j in w] for w in wins if len(w) > 1]
+            assert r.reduce("n", F.size).get_values() == [len(w) for w in wins]
+            assert r.apply(F.reverse).first().get_values() == brute_windows(t, wins, back) == r.apply(opaque(lambda s: s[::-1], "timestamp_ntz")).nth(0).get_values()
+
+
+def test_keys_of_several_parts_stay_apart(spark):
+    f = make(spark, 2, a=["a|b", "a", "x"], b=["c", "b|c", "y"], v=[1, 2, 3])
+    g = f.group_by("a", "b")
+    assert g.get_group(("a|b", "c")).rows() == [("a|b", "c", 1)] and g.get_group(("a", "b|c")).rows() == [("a", "b|c", 2)]
+    assert g.get_group("x|y").rows() == [("x", "y", 3)] and [x.rows() for x in g] == [[("a|b", "c", 1)], [("a", "b|c", 2)], [("x", "y", 3)]]
+    with pytest.raises(ValueError):
+        g.get_group("a|b|c")
 
 
 def test_analytic(spark):
