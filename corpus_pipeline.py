@@ -1,4 +1,8 @@
-"""The corpus pipeline: each stage works on all that the one before kept."""
+"""The corpus pipeline: each stage works on all that the one before kept.
+
+Every stage but the last gives the columns of ``documents``, extra ones of any name included; an empty table gives an empty table. Null ids are
+rows like others. What each stage does with the rest is said with it.
+"""
 
 from __future__ import annotations
 
@@ -8,27 +12,40 @@ from quillframe.llm import bpe, common, exact_dedup, mixing, quality_rules, simh
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule or a learned rule rejects go."""
+    """Documents that the base rule or a learned rule rejects go.
+
+    A null or empty text has no words and goes; rows of one text share a verdict, repeated rows all stay or all go; a text of any length is
+    judged whole. Without labels of both classes only the base rule rejects.
+    """
     return quality_rules.accepted(docs, common.table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays."""
+    """One row of each group of equal texts stays: the longest as it is written, then the smallest id (null last).
+
+    Null and empty texts are equal; a row that is repeated stays once.
+    """
     return exact_dedup.deduplicated(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates (fingerprints of three-word runs within three bits, directly or by others) stays: that with
+    the smallest id (null last). Texts without words are one group.
+    """
     return simhash.deduplicated(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources at their target weights: a document taken k times is k rows, one not taken is none."""
+    """The mix of sources at their target weights: a document taken k times is k rows, one not taken is none.
+
+    Null is a source of its own; a text without words has size 0 and is taken as its source's other small documents are, and a source
+    without any words is not taken. Rows that share id, text and source are taken equally often.
+    """
     return mixing.drawn(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, with the digests of the ids and of the text they decode to."""
+    """The number of tokens of every text, and digests of its ids and of the text they decode to. A null text has none; repeated rows repeat."""
     return bpe.digests(docs)
 
 
