@@ -281,8 +281,12 @@ class Frame:
         """The value at a position; None where there is none."""
         if not 0 <= column < len(self.cols) or row < 0:
             return None
-        got = self._positions().df.filter(F.col(B.POS) == row).select(self.cols[column].id).first()
-        return got[0] if got else None
+        cell = self.cols[column].id
+        if row < B.FEW:  # a bounded top-k
+            got = self._sdf.orderBy(*B.directed(self.order)).select(cell).offset(row).limit(1).collect()
+        else:
+            got = self._positions().df.filter(F.col(B.POS) == row).select(cell).collect()
+        return got[0][0] if got else None
 
     def get_labels(self) -> list[list]:
         got = self._sdf.orderBy(*B.directed(self.order)).select(*(f.id for f in self.labels)).collect()

@@ -6,8 +6,10 @@ from datetime import date, datetime
 import numpy as np
 import pytest
 
+from quillframe.config import Options
 from quillframe.functions import casts
-from quillframe.sources import equal_records, equal_structs, read_columns, read_csv, read_dataclasses, read_json, read_matrix, read_parquet, read_records, to_dataclasses, to_json, to_records, to_rows, write_csv, write_mock_csv, write_parquet
+from quillframe.operators.frame import Frame
+from quillframe.sources import Reader, Writer, equal_groups, equal_records, equal_structs, read_columns, read_csv, read_dataclasses, read_json, read_matrix, read_parquet, read_records, read_series, to_dataclasses, to_json, to_records, to_rows, write_csv, write_mock_csv, write_parquet
 from quillframe.sources.writers import equal_frames
 
 
@@ -98,3 +100,42 @@ def test_mock(spark, tmp_path):
     write_mock_csv(spark, "foo,bar\n10,fred\n100,corge\n", str(tmp_path / "m"), 50)
     f = read_csv(spark, str(tmp_path / "m"), blank_as_null=True, infer_types=True)
     assert len(f) == 50 and f.kind("foo").simpleString() == "double" and f.kind("bar").simpleString() == "string"
+
+
+def test_default_time_formats(spark):
+    texts = ["2020-01-02", "01-02-2020", "01/02/2020", "1/2/20", "2020-01-02 15:04:05 -0700 MST", "3:04pm", "2020-01-02T15:04:05+07:00", "2020-01-02T15:04:05.123Z", "02 Jan 95 15:04 UTC", "nope", None]
+    d = datetime(2020, 1, 2)
+    want = [d, d, d, d, datetime(2020, 1, 2, 22, 4, 5), datetime(1970, 1, 1, 15, 4), datetime(2020, 1, 2, 8, 4, 5), datetime(2020, 1, 2, 15, 4, 5, 123000), datetime(1995, 1, 2, 15, 4), None, None]
+    assert read_columns(spark, {"t": texts}, 0).cast({"t": casts.DATETIME}).rows(False) == [(x,) for x in want]
+    assert [casts.infer([t]) for t in texts[:-1]] == ["date"] * 4 + ["datetime", "time"] + ["datetime"] * 3 + ["string"]
+
+
+def test_warnings_can_be_switched_on(spark):
+    on = Options(warnings=True)
+    with pytest.warns(UserWarning, match="1 values of 'a'"):
+        read_columns(spark, {"a": ["1", "x"]}, 0, options=on).cast({"a": casts.FLOAT})
+
+
+def test_protocols_and_series(spark):
+    class Two:
+        def read(self, spark):
+            return read_columns(spark, {"a": [1, 2]}, 0)
+
+    kept = []
+
+    class Keep:
+        def write(self, frame):
+            kept.append(frame.rows(False))
+
+    f = Frame.read(spark, Two())
+    f.write(Keep())
+    assert kept == [[(1,), (2,)]] and f.write(Writer(to_records, labels=False)) == [["a"], ["1"], ["2"]]
+    assert equal_frames(Frame.read(spark, Reader(read_json, f.write(Writer(to_json)))), f)
+    s = read_series(spark, [1.5, None], {"k": ["x", "y"]}, "v")
+    assert s.rows() == [("x", 1.5), ("y", None)] and s.name == "v" and read_series(spark, [1]).get_labels() == [[0]]
+    assert f.unpack_ids("a") == f.unpack_ids() == f.ids(False)
+
+
+def test_equal_groups(spark):
+    a, b = (read_columns(spark, {"k": ["x", "y", "x"], "v": [1, 2, w]}, 1) for w in (3, 4))
+    assert equal_groups(a.group_by(), a.group_by()) and not equal_groups(a.group_by(), b.group_by())
