@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from datetime import timedelta
 from typing import Any
 
@@ -69,8 +69,10 @@ class Grouped:
         return self.frame._sdf.join(right, B.all_of([F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]), "left").drop(*names.values())
 
     def _made(self, kind: str, made: dict[Field, Column]) -> Frame:
+        return self._of_groups(kind, self._groups({f.id: c for f, c in made.items()}), list(made))
+
+    def _of_groups(self, kind: str, groups: DataFrame, made: Sequence[Field]) -> Frame:
         name = f"{kind}_{self.frame.name}" if self.frame.name else kind
-        groups = self._groups({f.id: c for f, c in made.items()})
         shape = Series if isinstance(self.frame, Series) or len(made) == 1 and self.aligned else Frame
         if self.aligned:
             return self.frame._new(self._onto(groups.drop("__first")), cols=list(made), name=name, level_names=(), kind=shape)
@@ -87,8 +89,27 @@ class Grouped:
     def mean(self, *names: str) -> Frame:
         return self.agg("mean", *names)
 
-    def median(self, *names: str) -> Frame:
-        return self.agg("median", *names)
+    def median(self, *names: str, spread: bool = False) -> Frame:
+        """Exact medians. The plain form holds a group's distinct values in one buffer; ``spread`` selects by rank over sorted blocks instead, for
+        groups whose values outgrow a task."""
+        return self._spread_median(names) if spread else self.agg("median", *names)
+
+    def _spread_median(self, names: Sequence[str]) -> Frame:
+        groups, made = self._groups({}), []
+        for f in self._cols(names):
+            m = self._named("median", f)
+            ids = {k: new_id() for k in self._ids()}
+            per = self.frame._sdf.select(*(F.col(k).alias(i) for k, i in ids.items()), casts.to_float(F.col(f.id), self.frame.kind(f)).alias("__x"))
+            per = per.filter(F.col("__x").isNotNull()).groupBy(*ids.values(), "__x").agg(F.count("*").cast("double").alias("__n"))
+            run = B.running_sum(B.blocks_of(per, [*((i, True) for i in ids.values()), ("__x", True)]), F.col("__n"), "__upto")
+            starts = run.groupBy(*ids.values()).agg(F.min(F.col("__upto") - F.col("__n")).alias("__start"), F.sum("__n").alias("__all"))
+            names_ = {i: new_id() for i in ids.values()}
+            run = run.join(starts.withColumnsRenamed(names_), B.all_of([F.col(i).eqNullSafe(F.col(x)) for i, x in names_.items()]))
+            beyond = lambda k: F.min(F.when(F.col("__upto") - F.col("__start") > F.floor(k), F.col("__x")))
+            got = run.groupBy(*ids.values()).agg(((beyond((F.col("__all") - 1) / 2) + beyond(F.col("__all") / 2)) / 2).alias(m.id))
+            groups = groups.join(got, B.all_of([F.col(k).eqNullSafe(F.col(i)) for k, i in ids.items()]), "left").drop(*ids.values())
+            made.append(m)
+        return self._of_groups("median", groups, made)
 
     def std(self, *names: str) -> Frame:
         return self.agg("stdDev", *names)
@@ -170,9 +191,19 @@ class Grouped:
         mark = new_id()
         return self._onto(self._groups({mark: F.lit(True)}).drop("__first")).filter(F.col(mark)).drop(mark)
 
-    def apply(self, function: Callable, *names: str) -> Grouped:
-        """New values within groups. ``function``: (Column, window of the group) to a Column, or an ``opaque`` one of a group's pandas Series."""
+    def apply(self, function: Callable, *names: str, of_group: Mapping[str, Callable[[Column], Column]] | None = None) -> Grouped:
+        """New values within groups. ``function``: (Column, window of the group) to a Column, or an ``opaque`` one of a group's pandas Series.
+
+        A window puts a group into one task. With ``of_group``, aggregates by name, ``function`` takes (Column, their values by name): an
+        aggregation joined back, in which no group is one task.
+        """
         cols = self._cols(names)
+        if of_group is not None:
+            made = {f.id: {n: new_id() for n in of_group} for f in cols}
+            groups = self._groups({i: of_group[n](F.col(c)) for c, by in made.items() for n, i in by.items()})
+            sdf = self._onto(groups.drop("__first").withColumn("__in", F.lit(True))).filter("__in").drop("__in")
+            sdf = sdf.withColumns({c: function(F.col(c), {n: F.col(i) for n, i in by.items()}) for c, by in made.items()})
+            return type(self)(self.frame._new(sdf.drop(*(i for by in made.values() for i in by.values())), cols=[Field(f.name, f.id) if f in cols else f for f in self.frame.cols]), self.keys, self.having, self.aligned)
         if getattr(function, "_opaque", False):
             kinds = {f.id: function._kind or self.frame.kind(f).simpleString() for f in cols}
             fields = [f"`{c.name}` {kinds.get(c.name, c.dataType.simpleString())}" for c in self._kept().schema]

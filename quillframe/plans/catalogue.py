@@ -286,6 +286,20 @@ def group_apply_zscore(spark, sf):
     return out(g.frame.select("value"), "value")
 
 
+@query("SELECT event_id, round((value - avg(value) OVER w) / stddev_pop(value) OVER w, 3) AS value FROM events WINDOW w AS (PARTITION BY event_type)")
+def group_apply_of_group(spark, sf):
+    g = frame(spark, sf, "events", "event_type", "value").group_by("event_type")
+    g = g.apply(lambda c, of: (c - of["mean"]) / of["std"], "value", of_group={"mean": F.avg, "std": F.stddev_pop})
+    return out(g.frame.select("value"), "value")
+
+
+@query('SELECT l_returnflag, l_linestatus, round(median(l_quantity), 3) AS "median_l_quantity" FROM lineitem GROUP BY 1, 2')
+def group_median_spread(spark, sf):
+    df = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_returnflag", "l_linestatus", "l_quantity", "l_orderkey")
+    g = Frame.from_spark(df, ["l_orderkey"], ["l_orderkey"]).group_by("l_returnflag", "l_linestatus")
+    return out(g.median("l_quantity", spread=True), "median_l_quantity")
+
+
 @query("SELECT event_type, value FROM events")
 def group_rows(spark, sf):
     return out(frame(spark, sf, "events", "event_type", "value").group_by("event_type").to_frame())

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillframe.functions.resample import Resampler
+from quillframe.operators import blocks as B
 from quillframe.operators.frame import opaque
 from quillframe.sources import read_columns
 
@@ -65,6 +66,32 @@ def test_reduce_and_apply(spark, scores):
     assert g.apply(opaque(lambda v: v.cumsum()), "foo").frame["foo"].get_values() == [1.0, 2.0, 4.0, 6.0, None]
 
 
+def test_forms_without_a_group_in_one_task(spark):
+    f = make(spark, k=["a", "b", "a", "a", None, "b", "c", None], v=[3.0, 1.0, 1.0, 8.0, 5.0, 2.0, None, 7.0])
+    g = f.group_by("k")
+    assert g.median("v", spread=True).rows() == g.median("v").rows() == [("a", 3.0), ("b", 1.5), (None, 6.0), ("c", None)]
+    assert g.align().median("v", spread=True)["median_v"].get_values() == g.align().median("v")["median_v"].get_values()
+    less = g.apply(lambda c, of: c - of["low"], "v", of_group={"low": F.min}).frame
+    assert less["v"].get_values() == [2.0, 0.0, 0.0, 7.0, 0.0, 1.0, None, 2.0]
+    few = g.having_count(lambda n: n > 2).apply(lambda c, of: c - of["low"], "v", of_group={"low": F.min}).frame
+    assert few["v"].get_values() == [2.0, 0.0, 7.0]
+
+
+def test_blocks_are_dealt_once_and_hold_what_is_needed(spark):
+    f = make(spark, 1, k=list(range(40)), a=[float(x) for x in range(40)], b=["x"] * 40)["a"]
+    b = f._positions()
+    assert f._positions() is b and "b" not in [x.name for x in f.fields] and len(b.df.columns) == 6  # label, value, order, block, row, position
+    assert f.shift(7).get_values() == [None] * 7 + [float(x) for x in range(33)] and f.shift(-39).get_values() == [39.0] + [None] * 39
+    assert f.shift(100).get_values() == [None] * 40 and f.shift(0).get_values() == f.get_values()
+    B.FEW, keep = 0, B.FEW  # no broadcasts
+    try:
+        assert f.shift(7).get_values() == [None] * 7 + [float(x) for x in range(33)]
+        assert f.shift(-7).get_values() == [float(x) for x in range(7, 40)] + [None] * 7
+        assert f.rank().get_values() == [float(x + 1) for x in range(40)]
+    finally:
+        B.FEW = keep
+
+
 def test_frame_reductions(scores):
     assert scores.select("foo").sum().rows() == [("foo", 10.0)] and scores["foo"].std() == pytest.approx(1.118034)
     assert scores["foo"].count() == 4 and scores["s"].nunique() == 3 and scores["s"].value_counts() == {"a": 2, "b": 1, "c": 1}
