@@ -113,7 +113,8 @@ def scanned(docs: DataFrame, texts: list[tuple[str, str]] = TEXTS, notices: list
     whole text stands in it from a blank line on, sorted, without repeats, comma-joined), n_notices (lines that are known notices), notices (their licences likewise)."""
     spark = docs.sparkSession
     entries = [*digests, *(entry(*x) for x in texts)]
-    whole = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{d}', '{n}')" for d, n in sorted({x[3]: x[0] for x in entries}.items())) + " AS t(text_digest, license)")
+    pairs = F.array(*(F.struct(F.lit(d).alias("text_digest"), F.lit(n).alias("license")) for d, n in sorted({x[3]: x[0] for x in entries}.items())))
+    whole = spark.range(1).select(F.inline(pairs))
     lines = known([*texts, *notices])
     table = F.create_map(*(F.lit(x) for kv in sorted(lines.items()) for x in kv))
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
