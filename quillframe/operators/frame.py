@@ -272,6 +272,9 @@ class Frame:
     def in_place(self):
         return Mutator(self)
 
+    def attempt(self) -> Attempt:
+        return Attempt(self)
+
     # ---- shape and values ----
 
     def __len__(self) -> int:
@@ -999,6 +1002,27 @@ class Mutator:
         return call
 
 
+class Attempt:
+    """Operators of a frame (or its groups) up to the first error, which is kept: later ones are left out. ``err`` is it, or None; ``result`` what came before."""
+
+    def __init__(self, held: Any, error: Exception | None = None):
+        self.result, self._error = held, error
+
+    def err(self) -> Exception | None:
+        return self._error
+
+    def __getattr__(self, name: str):
+        def call(*a, **b):
+            if self._error is not None:
+                return self
+            try:
+                return Attempt(getattr(self.result, name)(*a, **b))
+            except Exception as error:  # whatever it is, it is kept
+                return Attempt(self.result, error)
+
+        return call
+
+
 def concat_series(*series: Series) -> Frame:
     """Side by side, by merging on shared labels from the left."""
     out: Frame = series[0].frame()

@@ -850,3 +850,18 @@ def series_of_values(spark, sf):
 
     f = _local(spark, sf)
     return out(read_series(spark, f["n_regionkey"].get_values(), {"label": f["n_name"].get_values()}, "v"))
+
+
+@query("SELECT 1 AS kept, 'KeyError' AS error, count(*) AS rows FROM customer WHERE c_acctbal > 0")
+def first_error(spark, sf):
+    """An operator that fails is kept as the error; what follows it is left out."""
+    tried = frame(spark, sf, "customer", "c_acctbal").attempt().filter({"c_acctbal": lambda c: c > 0}).select("nothing").head(3)
+    return spark.createDataFrame([(1, type(tried.err()).__name__, len(tried.result))], "kept int, error string, rows long")
+
+
+@query("SELECT 26 AS rows, 3 AS columns")
+def dimensions_of_csv(spark, sf):
+    from quillframe.sources import csv_dimensions, to_records
+
+    text = "\n".join(",".join(r) for r in to_records(_local(spark, sf)))
+    return spark.createDataFrame([csv_dimensions(text)], "rows int, columns int")

@@ -105,6 +105,17 @@ def read_columns(spark: SparkSession, columns: dict[Any, Sequence], label_levels
     return _assembled(spark, list(zip(*(v for _, v in found), strict=True)), kinds, list(names or map(str, columns)), label_levels, name, (), options)
 
 
+def csv_dimensions(text: str, separator: str = ",") -> tuple[int, int]:
+    """Rows, header included, and columns of a CSV text. Rows of unequal length are an error."""
+    import csv
+    import io
+
+    rows = [r for r in csv.reader(io.StringIO(text), delimiter=separator) if r]
+    if len({len(r) for r in rows}) > 1:
+        raise ValueError("rows must be of one length")
+    return len(rows), len(rows[0]) if rows else 0
+
+
 def read_series(spark: SparkSession, values: Sequence, labels: dict[str, Sequence] | None = None, name: str = "", options: Options = DEFAULT) -> Series:
     """A series of local values under labels by name, or under ordinals."""
     labels = labels or {}

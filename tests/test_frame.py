@@ -192,3 +192,12 @@ def test_pipeline(spark):
 def test_rows_of_values(spark):
     f = read_rows(spark, [["a", "b"], [1, "x"], [2, None]])
     assert f.list_col_names() == ["a", "b"] and f.rows(False) == [(1, "x"), (2, None)]
+
+
+def test_the_first_error_is_kept(spark):
+    f = make(spark, a=[1, 2], b=[3.0, None])
+    fine = f.attempt().drop_null("b").sum()
+    assert fine.err() is None and fine.result.rows() == [("b", 3.0)]
+    bad = f.attempt().head(1).select("z").group_by("a").sum()
+    assert isinstance(bad.err(), KeyError) and bad.result.rows() == [(1, 3.0)]
+    assert isinstance(f.group_by("a").frame.attempt().group_by("q").err(), KeyError)
