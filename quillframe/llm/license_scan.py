@@ -154,8 +154,8 @@ m AS (SELECT r, name FROM (SELECT r, sha256({_sql_canonical("line")}) AS h FROM
 n AS (SELECT r, count(*) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM m GROUP BY r),
 entries(name, first, size, h) AS (VALUES {", ".join(f"({_sql_text(n)}, '{f}', {k}, '{h}')" for n, f, k, h in _ENTRIES)}),
 cut AS (SELECT r, [x FOR x IN [{_sql_canonical("y")} FOR y IN regexp_split_to_array(t, {_sql_text(BLANK)})] IF x <> ''] AS blocks FROM d WHERE regexp_matches(lower(t), {_sql_text(LIKELY)})),
-at AS (SELECT r, i, sha256(blocks[i]) AS first, array_to_string(blocks[i:], ' ') AS rest FROM (SELECT r, blocks, unnest(generate_series(1, len(blocks))) AS i FROM cut)),
-e AS (SELECT r, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM at JOIN entries USING (first)
+spots AS (SELECT r, i, sha256(blocks[i]) AS first, array_to_string(blocks[i:], ' ') AS rest FROM (SELECT r, blocks, unnest(generate_series(1, len(blocks))) AS i FROM cut)),
+e AS (SELECT r, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM spots JOIN entries USING (first)
       WHERE sha256(substr(rest, 1, size)) = h AND substr(rest, size + 1, 1) IN ('', ' ') GROUP BY r),
 g AS (SELECT r, doc_id, sha256({_sql_canonical("t")}) AS h FROM d)
 SELECT doc_id, h AS text_digest, license, coalesce(e.names, '') AS embedded, coalesce(n, 0) AS n_notices, coalesce(n.names, '') AS notices

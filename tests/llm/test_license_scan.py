@@ -56,3 +56,15 @@ def test_digests_of_long_licences():
     if top.is_dir():
         by = {x[3] for x in L.DIGESTS}
         assert all(L.entry("x", (top / f).read_text())[3] in by for f in ("Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "MPL-2.0", "CC0-1.0"))
+
+
+def test_sql_gives_the_same_rows(spark, odd_rows):
+    import duckdb
+    import pyarrow as pa
+
+    texts = [r[1] for r in odd_rows] + [t for _, t in TEXTS] + [f"Intro\n \t\nOn licences.\n\n{t}\r\n\r\nMIT License\n\nReleased under the MIT License." for _, t in TEXTS[::2]] + [t for _, t in NOTICES[:4]]
+    rows = list(enumerate(texts))
+    documents = pa.table({"doc_id": [i for i, _ in rows], "text": pa.array(texts, pa.string())})  # found by DuckDB under its name
+    want = duckdb.sql(L.ORACLE).select("doc_id", "text_digest", "license", "embedded", "n_notices", "notices").fetchall()
+    got = [tuple(r) for r in L.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == sorted(want) and sum(bool(r[3]) for r in got) >= len(TEXTS) and documents.num_rows == len(rows)
