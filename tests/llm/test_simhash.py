@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from quillframe.llm import simhash as S
@@ -82,3 +83,29 @@ def test_components_of_chains_and_hubs(spark):
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert got == {**{i: 0 for i in range(61)}, **{1000 + i: 1000 for i in range(40)}, 2000: 2000, 2001: 2000}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_pairs_of_tiles_are_made_by_spark(spark, monkeypatch):
+    sizes = {(pc, k): 10 * pc + k for pc in (0, 30, 31, 32, 35, 64) for k in range(20 if pc == 31 else 3)}
+    tiles = spark.createDataFrame([(*x, n) for x, n in sizes.items()], "pc int, chunk int, n long")
+    got = [(r.pa, r.ca, r.pb, r.cb) for r in S.tile_pairs(tiles, 3).collect()]
+    names = sorted(sizes)
+    assert sorted(got) == [(*a, *b) for a in names for b in names if a <= b and b[0] - a[0] <= 3]
+    assert S.tile_pairs(tiles, 3).filter("na <> 10 * pa + ca or nb <> 10 * pb + cb").count() == 0
+    assert S.tile_pairs(tiles, 3).groupBy("square").count().agg({"count": "max"}).first()[0] <= S.HELD**2
+
+    collected, kind = [], type(tiles)
+    plain = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: collected.append(out := plain(self)) or out)
+    r = np.random.default_rng(6)
+    fps = spark.createDataFrame([(int(x),) for x in r.integers(-(2**63), 2**63, 3000)], "fp long")
+    linked = S.linked(fps.distinct(), tile=25)
+    assert sum(map(len, collected)) <= 65  # one row for each number of bits; the components' loop reads two sums a round
+    linked.count()
+
+
+@pytest.mark.parametrize("few", [0, 1 << 18])
+def test_both_ways_to_keep_rows(spark, odd, monkeypatch, few):
+    want = sorted(map(str, S.deduplicated(odd).collect()))
+    monkeypatch.setattr(S.C, "FEW", few)
+    assert sorted(map(str, S.deduplicated(odd).collect())) == want
