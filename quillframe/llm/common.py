@@ -9,6 +9,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 from urllib.parse import urlparse
 
@@ -72,6 +73,27 @@ def keep_rows(docs: DataFrame, judged: DataFrame) -> DataFrame:
     return once.unionByName(again.select("row.*"))
 
 
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders that ``shared_dir`` makes inside go at the end: for steps whose result is written by then."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share; it goes when the session's JVM ends.
 
@@ -86,6 +108,8 @@ def shared_dir(spark: SparkSession) -> str:
     fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
     fs.mkdirs(path)
     fs.deleteOnExit(path)
+    if _scratch:
+        _scratch[-1].append(out)
     return str(fs.makeQualified(path))  # with its scheme: a bare path may mean one store to Spark and another to Python
 
 
