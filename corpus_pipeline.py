@@ -53,13 +53,15 @@ STAGES = [("quality rules", quality), ("exact dedup", exact), ("near dedup", nea
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written to the shared folder and read again."""
+    """All stages over ``documents``; each stage's rows are written to the shared folder and read again. What a stage has used goes when
+    its rows are written, and these go when the next stage's are."""
     to, docs = common.shared_dir(spark), common.table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = common.written(docs, f"{to}/{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with common.scratch(spark):
+            docs = common.written(stage(spark, docs, sf_dir), f"{to}/{k}")
+        if k:
+            common.remove(spark, f"{to}/{k - 1}")
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: Learning and sampling stages have no SQL; tests hold them against brute force.
