@@ -100,9 +100,9 @@ def shared_dir(spark: SparkSession) -> str:
     Where the setting is missing (tests), a temporary folder of this machine takes its place.
     """
     sc = spark.sparkContext
-    top = sc.getConf().get("spark.checkpoint.dir") or getattr(spark, "_quill_dir", None)
+    top = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_quill_dir", None)
     if not top:
-        top = spark._quill_dir = f"file://{tempfile.mkdtemp(prefix='quillframe-')}"
+        top = sc._quill_dir = f"file://{tempfile.mkdtemp(prefix='quillframe-')}"
     out = f"{top.rstrip('/')}/quill-{uuid.uuid4().hex}"
     path = sc._jvm.org.apache.hadoop.fs.Path(out)
     fs = path.getFileSystem(sc._jsc.hadoopConfiguration())

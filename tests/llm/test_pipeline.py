@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -8,7 +9,7 @@ import pytest
 import tiktoken
 
 import corpus_pipeline as P
-from quillframe.llm import bpe, exact_dedup, mixing, quality_rules, queries, simhash
+from quillframe.llm import bpe, common, exact_dedup, mixing, quality_rules, queries, simhash
 from quillframe.llm import wordhash as W
 from tests.llm.conftest import words
 from tests.llm.test_mixing import size, wanted
@@ -98,7 +99,11 @@ def test_stages_against_brute_force(spark, sf_dir):
     sha = lambda x: hashlib.sha256(x).hexdigest()
     want = [(r.doc_id, len(ids := library.encode_ordinary(r.text)), sha(" ".join(map(str, ids)).encode()), sha(r.text.encode())) for r in mixed]
     same([tuple(r) for r in encoded], want)
+    top = os.path.dirname(common.shared_dir(spark).removeprefix("file:"))
+    before = set(os.listdir(top))
     same(P.run(spark, sf_dir).collect(), encoded)
+    (left,) = set(os.listdir(top)) - before
+    assert os.listdir(f"{top}/{left}") == ["3"]  # of all intermediate tables only the one that the last stage reads
 
 
 def test_stages_on_an_empty_table(spark, tmp_path):
