@@ -163,8 +163,8 @@ def shuffle_rows(spark, sf):
     """Every row once, and whether the rows as a whole have moved: fewer than one in ten of them lies where it lay, or beside it."""
     f = frame(spark, sf, "customer", "c_name").shuffle(7).reset_labels().set_label_names(["place"])
     df = f.to_spark().withColumn("near", (F.abs(F.col("place") + 1 - F.col("c_custkey")) < 2).cast("int"))
-    still = df.agg((F.sum("near") * 10 < F.count("*")).alias("moved"))
-    return df.groupBy("c_custkey", "c_name").agg(F.count("*").cast("int").alias("times")).crossJoin(F.broadcast(still))  # one row
+    moved = df.agg(F.sum("near") * 10 < F.count("*")).first()[0]
+    return df.groupBy("c_custkey", "c_name").agg(F.lit(moved).alias("moved"), F.count("*").cast("int").alias("times"))
 
 
 @query("SELECT event_id, CASE WHEN row_number() OVER (ORDER BY event_id) IN (1, 3) THEN -value ELSE value END AS value FROM events")
