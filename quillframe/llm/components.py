@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from quillframe.llm import common as C
 
 
+#: Links of a file, on average: small tables are not cut into as many files as a shuffle has partitions.
+LINKS = 50_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """``links`` (a long, b long) gives (node, label), label the smallest node reachable; nodes without a link to another have no row.
 
@@ -23,11 +27,11 @@ def components(links: DataFrame) -> DataFrame:
         sign = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(sign) == seen or not sign[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
-        seen, k = tuple(sign), k + 1
+        seen, k, files = tuple(sign), k + 1, -(-sign[0] // LINKS)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = C.written(large, f"{to}/{k}l")
+        large = C.written(large.coalesce(files), f"{to}/{k}l")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = C.written(small, f"{to}/{k}")
+        edges = C.written(small.coalesce(files), f"{to}/{k}")

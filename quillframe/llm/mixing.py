@@ -213,7 +213,8 @@ def decided(docs: DataFrame, most: int = 3) -> DataFrame:
     spent = large.groupBy("rank").agg(F.sum(F.col("copies") * F.col("size")).alias("spent"), F.sum("size").alias("gone"))
     ratio = F.when(F.col("left") > 0, (F.col("target") - F.col("spent")) / F.col("left")).when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     goal = goal.join(spent, "rank", "left").fillna(0.0, ["spent", "gone"]).withColumn("left", F.col("source_size") - F.col("gone"))
-    goal = C.written(goal.select("rank", "n_rows", "target", F.greatest(F.lit(0.0), F.least(F.lit(float(most)), ratio)).alias("ratio")), f"{to}/rest")
+    goal = goal.select("rank", "n_rows", "target", F.greatest(F.lit(0.0), F.least(F.lit(float(most)), ratio)).alias("ratio"))
+    goal = C.written(goal.coalesce(1) if few else goal, f"{to}/rest")
     whole = F.floor(F.col("ratio") + F.lit(_EPS))
     small = units.filter("not large").select("unit", "rank", "rows", "size").join(small_table(goal), "rank").withColumns({"whole": whole, "f": F.greatest(F.lit(0.0), F.col("ratio") - whole)})
     # a source's blocks follow its own size: no group holds two sources or grows with one
