@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 BLOCK, ROW, POS = "__block", "__row", "__pos"
+#: Of a row's window of time: the position after it, the time of its last row, what is counted in it.
+END, UNTIL, SEEN = "__stop", "__until", "__seen"
 #: Rows of a block of positions, for windows over positions.
 SPAN = 1 << 20
 #: Rows of a table that is broadcast at most.
@@ -159,6 +161,50 @@ def forward_rows(b: Blocks, n: int, aggregates: dict[str, Callable[[WindowSpec],
     return got.filter(F.col(block) == own).drop(block)
 
 
+def forward_ranges(df: DataFrame, at: str, step: int, order: Sequence[tuple[str, bool]], some: Column | None = None, distinct: bool = False) -> Blocks:
+    """Rows by ``at`` (a long, not null) and, where equal, by ``order``, each with its window: itself and the rows after it that are less than ``step`` later.
+
+    END: the position after the window's last row; UNTIL: ``at`` of that row. SEEN: how many rows of the window pass ``some`` or, with
+    ``distinct``, how many values of ``at`` it has. A row is dealt to its own place and to the end of its window; windows have the order of
+    their first rows, so what comes before the two tells both positions. No window is read, whatever it holds.
+    """
+    time, end, test, new = "__at", "__end", "__test", "__new"
+    keys = list(dict.fromkeys(c for c, _ in order if c != at))
+    passes = F.coalesce(F.lit(False) if some is None else some, F.lit(False)).cast("long").alias(test)
+    places = df.select(*keys, F.col(at).alias(time), F.lit(0).alias(end), passes)
+    ends = df.select("*", (F.col(at) + (step - 1)).alias(time), F.lit(1).alias(end), passes)
+    b = blocks_of(ends.unionByName(places, allowMissingColumns=True), [(time, True), (end, True), *((c, up) for c, up in order if c != at)])
+    made = [F.count("*"), F.sum(test), F.min(time), F.max(time), *([F.count_distinct(time)] if distinct else [])]
+    got = {(r[0], r[1]): r[2:] for r in b.df.groupBy(BLOCK, end).agg(*made).collect()}  # two rows for each block
+    before = {kind: [] for kind in (0, 1)}  # of places and ends before each block: rows, those that pass, the last time, its values
+    for kind, table in before.items():
+        rows, passed, last, values = 0, 0, None, 0
+        for k in range(max(1, b.blocks)):
+            table.append((rows, passed, last, values))
+            if r := got.get((k, kind)):
+                rows, passed, values = rows + r[0], passed + r[1], values + (r[4] - (r[2] == last) if distinct else 0)
+                last = r[3]
+    of = lambda kind, k: _at([r[k] for r in before[kind]], "long")
+    w = _inside().rowsBetween(Window.unboundedPreceding, 0)
+    is_end = F.col(end) == 1
+    made = {"__ends": of(1, 0) + F.sum(end).over(w), UNTIL: F.coalesce(F.last(F.when(~is_end, F.col(time)), ignorenulls=True).over(w), of(0, 2))}
+    if some is not None:
+        here, all_ = (F.sum(F.when(x, F.col(test)).otherwise(0)).over(w) for x in (is_end, ~is_end))
+        made[SEEN] = of(0, 1) + all_ - of(1, 1) - here + F.col(test)
+    df = b.df
+    if distinct:
+        held = _inside().rowsBetween(Window.unboundedPreceding, -1)
+        past = [F.last(F.when(x, F.col(time)), ignorenulls=True).over(held) for x in (~is_end, is_end)]
+        df = df.withColumn(new, (~F.col(time).eqNullSafe(F.when(is_end, F.coalesce(past[1], of(1, 2))).otherwise(F.coalesce(past[0], of(0, 2))))).cast("long"))
+        here, all_ = (F.sum(F.when(x, F.col(new)).otherwise(0)).over(w) for x in (is_end, ~is_end))
+        made[SEEN] = of(0, 3) + all_ - of(1, 3) - here + 1
+    df = df.withColumns(made).filter(is_end)
+    # only ends go on: they stand for their rows, whose positions they have
+    df = df.withColumn(END, F.col(POS) - F.col("__ends") + 1).withColumn(POS, F.col("__ends") - 1).withColumn(ROW, F.col(POS) - of(1, 0))
+    counts = tuple(r[0] if (r := got.get((k, 1))) else 0 for k in range(b.blocks))
+    return Blocks(df.drop("__ends", time, end, test, new), sum(counts), counts)
+
+
 def shifted(b: Blocks, n: int, columns: dict[str, str]) -> DataFrame:
     """For each (source: name), the value n rows before (after, if negative), null where there's none.
 

@@ -8,6 +8,7 @@ from datetime import timedelta
 from typing import Any
 
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -420,9 +421,65 @@ class RollingRows(_Rolling):
         return s._placed(b, df.withColumn(v, F.when(whole, F.col(v))))._new(cols=[Field("windows", v)], kind=Series)
 
 
+def _from_places(c: Column, whole: str, size: Column, element: Callable[[bool, Any], Column]) -> Column | None:
+    """``c`` without the array column ``whole``: its size and its elements (``get``, of it or of it reversed) are put in their place.
+
+    ``element`` gets whether the index, a number or a Column, counts from the end. None if ``c`` needs the array itself.
+    """
+    if not hasattr(c, "_jc"):
+        return None
+    from pyspark.sql.classic.column import Column as Classic
+    from pyspark.sql.classic.column import _to_seq
+
+    sc = SparkContext._active_spark_context
+    column = lambda n: Classic(sc._jvm.org.apache.spark.sql.Column(n))
+    kind = lambda n: n.getClass().getSimpleName()
+
+    def turned(n: Any) -> bool | None:
+        """Whether it is the array in its order (False) or reversed; None if it is neither."""
+        if kind(n) == "UnresolvedAttribute":
+            return False if n.nameParts().mkString(".") == whole else None
+        if kind(n) == "UnresolvedFunction" and n.functionName() == "reverse":
+            got = turned(n.arguments().apply(0))
+            return None if got is None else not got
+        return None
+
+    def number(n: Any) -> int | None:
+        while kind(n) == "Cast":
+            n = n.child()
+        return n.value() if kind(n) == "Literal" and type(n.value()) is int else None
+
+    def put(n: Any) -> Any:
+        if kind(n) == "Literal" or kind(n) == "UnresolvedAttribute" and turned(n) is None:
+            return n
+        if kind(n) in ("Cast", "Alias"):
+            child = put(n.child())
+            rest = (n.dataType(), n.evalMode()) if kind(n) == "Cast" else (n.name(), n.metadata())
+            return None if child is None else n.copy(child, *rest, n.origin())
+        if kind(n) != "UnresolvedFunction":
+            return None
+        args = [n.arguments().apply(k) for k in range(n.arguments().size())]
+        if args and (back := turned(args[0])) is not None:
+            if n.functionName() == "size":
+                return size._jc.node()
+            at = put(args[1]) if n.functionName() == "get" else None
+            if at is None:
+                return None
+            k = number(at)
+            return element(back, column(at) if k is None else k)._jc.node()
+        args = [put(x) for x in args]
+        if any(x is None for x in args):
+            return None
+        return n.copy(n.functionName(), _to_seq(sc, args), n.isDistinct(), n.isUserDefinedFunction(), n.isInternal(), n.origin())
+
+    got = put(c._jc.node())
+    return None if got is None else column(got)
+
+
 class RollingTime(_Rolling):
-    """Each timestamp with those after it that are less than the duration later; rows must ascend by time. A row is copied to its own bucket of
-    the duration and its neighbours, so a window never leaves a bucket; a duration that holds much of the series makes large buckets."""
+    """Each timestamp with those after it that are less than the duration later; rows must ascend by time. A window is two positions (``blocks.forward_ranges``),
+    and results that need its size, its ends or single elements take them by position. Only functions of all of a window's values get them as an
+    array: a row is then copied to its own bucket of the duration and its neighbours, so a window never leaves a bucket, and all windows are written out."""
 
     def __init__(self, series: Series, d: timedelta, value: Field | None = None, having: Sequence[Callable[[Column], Column]] = ()):
         if d < timedelta(0):
@@ -445,7 +502,7 @@ class RollingTime(_Rolling):
         return spread.withColumn("__earlier", (F.row_number().over(peers) - 1).cast("long")), df.filter(F.col("__us").isNull())
 
     def _step(self) -> int:
-        return max(1, self.d // timedelta(microseconds=1))
+        return min(max(1, self.d // timedelta(microseconds=1)), 1 << 61)
 
     def _ranged(self) -> WindowSpec:
         return Window.partitionBy("__bucket").orderBy("__us").rangeBetween(0, self._step() - 1)
@@ -456,8 +513,63 @@ class RollingTime(_Rolling):
         out = out.unionByName(null.withColumn(v, F.lit(None).cast(out.schema[v].dataType))).drop("__us", "__key")
         return self.series._new(out, cols=[Field(name, v)], name=name, kind=Series)
 
-    def _of_windows(self, name: str, then: Callable[[Column, Column], Column], own_only: bool = False) -> Series:
-        """``then`` of each row's window, as an array of its values, and the row's place in it."""
+    def _of_windows(self, name: str, then: Callable[[Column, Column], Column], own_only: bool = False, some: Column | None = None, distinct: bool = False) -> Series:
+        """``then`` of each row's window, as an array of its values, and the row's place in it. ``some``, ``distinct``: what ``SEEN`` counts."""
+        s, wants, sized = self.series, [], some is not None or distinct
+        place = F.col("__place") if self.having else F.lit(0).cast("long")
+
+        def element(back: bool, k: Any) -> Column:
+            wants.append((back, k))
+            return F.col(f"__e{len(wants) - 1}")
+
+        made = _from_places(then(F.col("__all"), place), "__all", F.col("__size"), element)
+        if made is None:
+            return self._of_arrays(name, then, own_only)
+        timed, kind = self.of.id == s.value.id, s.type()
+        moment = lambda c: F.timestamp_micros(c).cast(kind if casts.is_time(kind) else "timestamp_ntz")
+        df = s._sdf.withColumn("__us", F.unix_micros(casts.to_time(F.col(s.value.id), kind, s.options).cast("timestamp")))
+        own = moment(F.col("__us")) if timed else F.col(self.of.id)
+        v = new_id()
+        if not self.having and not sized and wants and all(w == (False, 0) for w in wants) and "__size" not in str(made):
+            # each window begins with its own row
+            firsts = df.withColumns({f"__e{i}": own for i in range(len(wants))}).withColumn(v, F.when(F.col("__us").isNotNull(), made))
+            return s._new(firsts.drop("__us", *(f"__e{i}" for i in range(len(wants)))), cols=[Field(name, v)], name=name, kind=Series)
+
+        df = df.select(*dict.fromkeys([*(f.id for f in s.fields), self.of.id, *(c for c, _ in s.order)]), "__us")
+        null = df.filter(F.col("__us").isNull())
+        b = B.forward_ranges(df.filter(F.col("__us").isNotNull()), "__us", self._step(), s.order, some, distinct)
+        held = {"__start": F.col(B.POS), B.END: F.col(B.END), "__first": F.col("__us"), B.UNTIL: F.col(B.UNTIL), **({B.SEEN: F.col(B.SEEN)} if sized else {})}
+        test = self._passes((F.col(B.END) - F.col(B.POS)).cast("int"))
+        if test is not None:
+            held = {c: F.when(test, x) for c, x in held.items()}
+        rows = b.df.withColumns(held)
+        if test is not None and not own_only:
+            # both ends of windows ascend: the last one that passes and begins at or before the row holds it, or none does
+            names = {c: f"{c}_held" for c in held}
+            rows = B.carried(B.Blocks(rows, b.size, b.counts), names, True)
+            rows = rows.withColumns({c: F.when(F.col(B.POS) < F.col(names[B.END]), F.col(x)) for c, x in names.items()}).drop(*names.values())
+        rows = rows.withColumns({"__size": (F.col(B.END) - F.col("__start")).cast("int"), "__place": F.col(B.POS) - F.col("__start")})
+        whole = F.col("__start").isNotNull()
+        for i, (back, k) in enumerate(wants):
+            e, k = f"__e{i}", F.lit(k) if (fixed := type(k) is int) else k
+            zero = fixed and wants[i][1] == 0
+            if zero and (timed or not back and test is None):
+                rows = rows.withColumn(e, moment(F.col(B.UNTIL if back else "__first")) if timed else own)
+                continue
+            inside = (k >= 0) & (k < F.col("__size"))
+            if fixed and not back and test is None and wants[i][1] > 0:
+                rows = B.shifted(B.Blocks(rows.withColumn("__own", own), b.size, b.counts), -wants[i][1], {"__own": e})
+                rows = rows.withColumn(e, F.when(inside, F.col(e))).drop("__own")
+                continue
+            at = F.when(inside, F.col(B.END) - 1 - k if back else F.col("__start") + k).cast("long")
+            values = b.df.select(F.col(B.POS).alias("__q"), own.alias(e))
+            lone = rows.withColumn("__at", at)
+            rows = lone.join(values, F.col("__at") == F.col("__q"), "left").drop("__at", "__q")
+        out = rows.withColumn(v, F.when(whole, made)).select(*null.columns, v)
+        out = out.unionByName(null.withColumn(v, F.lit(None).cast(out.schema[v].dataType))).drop("__us")
+        return s._new(out, cols=[Field(name, v)], name=name, kind=Series)
+
+    def _of_arrays(self, name: str, then: Callable[[Column, Column], Column], own_only: bool) -> Series:
         spread, null = self._spread([0, 1, -1] if self.having else [0, 1])
         of = F.col("__us") if self.of.id == self.series.value.id else F.col(self.of.id)
         kind = self.series.type() if self.of.id == self.series.value.id else None
@@ -485,19 +597,18 @@ class RollingTime(_Rolling):
         name, c, of = self._named(kind), F.col(self.of.id), self.series.kind(self.of)
         if kind not in KINDS:
             raise ValueError(f"unknown reduction {kind!r}; one of {', '.join(KINDS)}")
-        if not self.having and kind in ("count", "last", "latest"):
-            # what comes before the row at its own time doesn't change the last, and is counted off
-            spread, null = self._spread([0, 1])
-            if kind == "count":
-                some = F.count(c).over(self._ranged()) - F.coalesce(F.count(c).over(Window.partitionBy("__bucket", "__us").orderBy("__key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-                return self._finished(spread, null, F.nullif(some, F.lit(0).cast("long")), name)
-            if kind == "latest":
-                return self._finished(spread, null, F.max(casts.to_time(c, of, self.series.options)).over(self._ranged()), name)
+        timed = self.of.id == self.series.value.id
+        if timed and kind in ("earliest", "latest"):  # times ascend
+            time = lambda x: casts.to_time(x, of, self.series.options) if casts.is_time(of) else x
+            return self._of_windows(name, lambda a, _: time(F.get(a if kind == "earliest" else F.reverse(a), F.lit(0))))
+        if kind == "count" or timed and kind == "nunique":
+            seen = F.nullif(F.col(B.SEEN), F.lit(0).cast("long"))
+            return self._of_windows(name, lambda a, _: seen, some=c.isNotNull() if kind == "count" else None, distinct=kind == "nunique")
         return self._of_windows(name, lambda a, _: _of_array(kind, a, of, self.series))
 
     def nth(self, n: int) -> Series:
         """The n-th row of each window (from its end if negative), null where there's none."""
-        return self._of_windows(self._named("nth"), lambda a, _: F.get(a, F.lit(n) if n >= 0 else F.size(a) + n))
+        return self._of_windows(self._named("nth"), lambda a, _: F.get(a, F.lit(n)) if n >= 0 else F.get(F.reverse(a), F.lit(-n - 1)))
 
     def reduce(self, name: str, function: Callable) -> Series:
         """``function``: an array Column of a window's values to a Column, or an ``opaque`` one of a pandas Series of them to a value."""
@@ -516,6 +627,10 @@ class RollingTime(_Rolling):
     def _windows(self) -> Series:
         return self._of_windows("windows", lambda a, _: a, own_only=True)
 
+    def __len__(self) -> int:
+        got = self._of_windows("rows", lambda a, _: F.size(a), own_only=True)
+        return got._sdf.filter(F.col(got.value.id).isNotNull()).count()
+
 
 def _of_array(kind: str, a: Column, of: T.DataType, frame: Frame) -> Column:
     """A reduction of an array of values in order, nulls included."""
@@ -525,7 +640,7 @@ def _of_array(kind: str, a: Column, of: T.DataType, frame: Frame) -> Column:
     if kind == "nunique":
         return F.nullif(F.size(F.array_distinct(some)).cast("long"), F.lit(0).cast("long"))
     if kind in ("first", "last"):
-        return F.get(a, F.lit(0) if kind == "first" else F.size(a) - 1)
+        return F.get(a if kind == "first" else F.reverse(a), F.lit(0))
     if kind in ("earliest", "latest"):
         times = F.transform(a, lambda x: casts.to_time(x, of, frame.options))
         return F.array_min(times) if kind == "earliest" else F.array_max(times)
