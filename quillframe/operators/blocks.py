@@ -135,11 +135,10 @@ def carried(b: Blocks, columns: dict[str, str], forward: bool) -> DataFrame:
             table[c][k] = held[c]
             if k in rows and rows[k][c] is not None:
                 held[c] = rows[k][c]
-    w = _inside()
-    w = w.rowsBetween(Window.unboundedPreceding, 0) if forward else w.rowsBetween(0, Window.unboundedFollowing)
-    pick = F.last if forward else F.first
+    # a frame that begins at the row is worked out anew for each row, in the square of the block; backward, rows are read from the end
+    w = Window.partitionBy(BLOCK).orderBy(ROW if forward else F.desc(ROW)).rowsBetween(Window.unboundedPreceding, 0)
     kind = {c: b.df.schema[c].dataType.simpleString() for c in columns}
-    return b.df.withColumns({name: F.coalesce(pick(c, ignorenulls=True).over(w), _at(table[c], kind[c])) for c, name in columns.items()})
+    return b.df.withColumns({name: F.coalesce(F.last(c, ignorenulls=True).over(w), _at(table[c], kind[c])) for c, name in columns.items()})
 
 
 def forward_rows(b: Blocks, n: int, aggregates: dict[str, Callable[[WindowSpec], Column]]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillframe.functions.resample import Resampler
 from quillframe.operators import blocks as B
-from quillframe.operators.frame import opaque
+from quillframe.operators.frame import NullFiller, opaque
 from quillframe.sources import read_columns
 
 
@@ -226,3 +226,12 @@ def test_resample(spark):
     assert one(by_week=True) == datetime(2020, 2, 2) and one(by_week=True, start_of_week=1) == datetime(2020, 1, 27)
     assert one(by_duration=timedelta(hours=1)) == datetime(2020, 2, 2, 12) and one(by_duration=timedelta(0)) == d and one() == d
     assert one(by_day=True, time_zone="Pacific/Auckland") == datetime(2020, 2, 3)
+
+
+def test_fill_backward_reads_a_block_once_f10(spark):
+    v = [None, 3.0, None, None, 1.0, None] * 20 + [None]
+    f = make(spark, 0, v=v)
+    got = f.fill_null({"v": NullFiller(backward=True)})
+    assert got["v"].get_values() == [3.0, 3.0, 1.0, 1.0, 1.0, 3.0] * 19 + [3.0, 3.0, 1.0, 1.0, 1.0, 0.0, 0.0]
+    # a frame from the row to the end of its block is worked out anew for each row
+    assert "unboundedfollowing" not in got._sdf._jdf.queryExecution().analyzed().toString().lower()
