@@ -19,6 +19,8 @@ from quillframe.operators import blocks as B
 from quillframe.operators.frame import Field, Frame, Series, new_id
 
 NUMBERS = ("sum", "mean", "median", "stdDev", "min", "max")
+#: Rows of a group that an iterator of groups brings to the driver at most.
+LOCAL = 1 << 12
 KINDS = (*NUMBERS, "count", "nunique", "earliest", "latest", "first", "last")
 
 
@@ -265,18 +267,31 @@ class Grouped:
         return [[r[k] for r in got] for k in range(len(self.keys))]
 
     def __iter__(self) -> Iterator[Frame]:
-        """Group after group by first appearance, in one pass over the sorted rows; a group's rows are on the driver while it is the current one."""
+        """Group after group by first appearance. Groups of at most ``LOCAL`` rows come in one pass over the sorted rows of all of these, each on the
+        driver while it is the current one; a larger one is a filter of the rows, which stay where they are."""
         g = self.frame_()
         ids, n = [f.id for f in g.fields], len(g.labels)
-        names, o = [new_id() for _ in ids], new_id()
+        names, o, rows = [new_id() for _ in ids], new_id(), new_id()
         kinds = ", ".join([*(f"{i} {g._sdf.schema[c].dataType.simpleString()}" for i, c in zip(names, ids, strict=True)), f"{o} long"])
         fields = [Field(f.name, i) for f, i in zip(g.fields, names, strict=True)]
+        keys = [(c, True) for c in self._ids()]
+        groups = self._groups({rows: F.count("*")})
+        first = keys if self.aligned else [("__first", True), *keys]
         # rows of one group follow each other: their first appearance leads the order, and keys tell groups apart
-        order = g.order if not self.aligned else [(c, True) for c in self._ids()] + list(g.order)
-        rows = g._sdf.orderBy(*B.directed(order)).select(*ids).toLocalIterator()
-        for _, own in itertools.groupby(rows, key=lambda r: tuple(r[:n])):
-            local = [(*r, k) for k, r in enumerate(own)]
-            yield g._new(g.spark.createDataFrame(local, kinds), labels=fields[:n], cols=fields[n:], order=[(o, True)])
+        order = keys + list(g.order) if self.aligned else [g.order[0], *keys, *g.order[1:]]
+        other = {k: new_id() for k in self._ids()}
+        same = B.all_of([F.col(k).eqNullSafe(F.col(x)) for k, x in other.items()])
+        small = groups.filter(F.col(rows) <= LOCAL).select(*(F.col(k).alias(x) for k, x in other.items()))
+        local = None
+        for r in groups.orderBy(*B.directed(first)).select(*self._ids(), rows).toLocalIterator():
+            if r[rows] > LOCAL:
+                key = g.spark.createDataFrame([tuple(r[k] for k in self._ids())], T.StructType([T.StructField(x, g._sdf.schema[k].dataType) for k, x in other.items()]))
+                yield g._new(g._sdf.join(F.broadcast(key), same, "left_semi"), order=order)
+                continue
+            if local is None:
+                local = g._sdf.join(small, same, "left_semi").orderBy(*B.directed(order)).select(*ids).toLocalIterator()
+            own = [(*x, k) for k, x in enumerate(itertools.islice(local, r[rows]))]
+            yield g._new(g.spark.createDataFrame(own, kinds), labels=fields[:n], cols=fields[n:], order=[(o, True)])
 
     def __str__(self) -> str:
         return str(self.frame_())

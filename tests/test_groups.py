@@ -235,3 +235,18 @@ def test_fill_backward_reads_a_block_once_f10(spark):
     assert got["v"].get_values() == [3.0, 3.0, 1.0, 1.0, 1.0, 3.0] * 19 + [3.0, 3.0, 1.0, 1.0, 1.0, 0.0, 0.0]
     # a frame from the row to the end of its block is worked out anew for each row
     assert "unboundedfollowing" not in got._sdf._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_large_groups_stay_where_they_are_f12(spark, monkeypatch):
+    import quillframe.operators.grouped as G
+
+    k = ["b", None, "a", "b", "b", "c", None, "a", "b", None]
+    want = [("b", [0, 3, 4, 8]), (None, [1, 6, 9]), ("a", [2, 7]), ("c", [5])]
+    f = make(spark, 1, k=k, v=list(range(10)))
+    for most in (0, 2, 3, 100):
+        monkeypatch.setattr(G, "LOCAL", most)
+        got = list(f.group_by("k"))
+        assert [x.rows() for x in got] == [[(key, v) for v in rows] for key, rows in want] and [len(x) for x in got] == [4, 3, 2, 1]
+        assert ["LeftSemi" in x._sdf._jdf.queryExecution().analyzed().toString() for x in got] == [len(rows) > most for _, rows in want]
+        assert [x.rows() for x in f.group_by("k").having_count(lambda n: n < 3)] == [[("a", 2), ("a", 7)], [("c", 5)]]
+        assert [len(x) for x in f.group_by("k").align()] == [2, 4, 1, 3]
